@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, hashed_classifier, mixing, near_dedup, rule_ensemble
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dedup.opquery,
+    "op5_rule_ensemble": rule_ensemble.opquery,
+    "op6_hashed_quality": hashed_classifier.opquery,
     "op8_source_mixing": mixing.opquery,
     "op10_exact_dedup": exact_dedup.opquery,
 }
