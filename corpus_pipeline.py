@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import exact_dedup, mixing, near_dedup, rule_ensemble
+from quillframe.llm import curve_packing, exact_dedup, mixing, near_dedup, rule_ensemble
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("source mixing", mixed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return curve_packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("source mixing", mixed), ("packing", packed)]
 ORACLE_SQL = None
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hashed_classifier, mixing, near_dedup, rule_ensemble
+from . import curve_packing, exact_dedup, hashed_classifier, mixing, near_dedup, rule_ensemble, warc
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dedup.opquery,
+    "op3_curve_packing": curve_packing.opquery,
     "op5_rule_ensemble": rule_ensemble.opquery,
     "op6_hashed_quality": hashed_classifier.opquery,
     "op8_source_mixing": mixing.opquery,
+    "op9_warc_reader": warc.opquery,
     "op10_exact_dedup": exact_dedup.opquery,
 }
 
 SQL = {
     "op8_source_mixing": mixing.SQL,
+    "op9_warc_reader": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
