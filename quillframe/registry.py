@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.plans import dataset
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (dataset,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
