@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.plans import dataset
+from quillframe.plans import dataset, kernels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (dataset,):
+for _module in (dataset, kernels):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
