@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.plans import agent, dataset, kernels
+from quillframe.plans import agent, bulk, dataset, kernels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (dataset, kernels, agent):
+for _module in (dataset, kernels, agent, bulk):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
