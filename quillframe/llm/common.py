@@ -1,121 +1,15 @@
-"""What the operators share: written tables, checked broadcasts, ranged prefix sums."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured size is at most this; beyond it the join shuffles.
-BROADCAST_BYTES = 48 << 20
-
-_MADE: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a written table."""
-    p, fs = _hadoop_path(spark, path)
-    fs.delete(p, True)
-    if path in _MADE:
-        _MADE.remove(path)
-
-
-@atexit.register
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in list(_MADE):
-        try:
-            if spark is not None:
-                drop(spark, path)
-        except Exception:  # the session may have ended first; the folder belongs to the cluster then
-            return
-
-
-def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
-    """Write a DataFrame to the shared folder, so that lineage ends there and lost executors cost a re-read only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _MADE.append(path)
-    df.write.option("compression", compression).parquet(path)
-    return path
+from quillframe.cluster import BROADCAST_BYTES, drop, file_system, fresh, maybe_broadcast, new_path, prefix_sums, settle, shared_dir, write_table
 
-
-def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """The same rows, read back from a written table."""
-    path = write_table(df, name, compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Bytes on disk of a table that :func:`settle` returned."""
-    spark = df.sparkSession
-    total = 0
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p, fs = _hadoop_path(spark, root)
-        total += fs.getContentSummary(p).getLength()
-    return total
-
-
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A settled table with a broadcast hint if rows times row_bytes fits the limit, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that no column of df has, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+__all__ = ["BROADCAST_BYTES", "drop", "file_system", "fresh", "maybe_broadcast", "need", "new_path", "prefix_sums", "settle", "shared_dir", "write_table"]
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; everything else, clashing names included, is left behind."""
     return df.select(*[F.col(c) for c in columns])
-
-
-def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, within: str | None = None, ties_together: bool = False) -> DataFrame:
-    """Running sum of value in the order given (restarted for each value of within), without a single-task window.
-
-    Rows are range-partitioned and written with their partition number; the sum is the running sum inside the partition
-    plus the total of the partitions before, which is one row per partition. With ties_together, rows that tie in
-    the order all get the sum with the whole tie in it (equal keys never part in a range partitioning).
-    """
-    from pyspark.sql import Window as W
-
-    order = ([within] if within else []) + order
-    pid, part, local = fresh(df, "pid"), fresh(df, "part_sum"), fresh(df, "local_sum")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order]).withColumn(pid, F.spark_partition_id()), "ranged")
-    keys = [pid] + ([within] if within else [])
-    totals = ranged.groupBy(*keys).agg(F.sum(value).alias(part))
-    before = W.orderBy(pid).rowsBetween(W.unboundedPreceding, -1)
-    if within:
-        before = W.partitionBy(within).orderBy(pid).rowsBetween(W.unboundedPreceding, -1)
-    totals = settle(totals.withColumn(part, F.coalesce(F.sum(part).over(before), F.lit(0))), "totals")
-    totals = totals.select(*[F.col(k).alias("t_" + k) for k in keys], F.col(part).alias("t_" + part))
-    run = W.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    run = run.rangeBetween(W.unboundedPreceding, W.currentRow) if ties_together else run.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranged = ranged.withColumn(local, F.sum(value).over(run))
-    match: Column = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col("t_" + k))
-    joined = ranged.join(maybe_broadcast(totals, 64), match, "left")
-    return joined.withColumn(out, F.col(local) + F.col("t_" + part)).drop(pid, local, *["t_" + k for k in keys], "t_" + part)

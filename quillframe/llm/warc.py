@@ -76,7 +76,7 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
     spark = pages.sparkSession
-    path, store = common._hadoop_path(spark, folder)
+    path, store = common.file_system(spark, folder)
     store.mkdirs(path)
     return common.settle(common.need(pages, "page_id", "url", "html").mapInArrow(run, "file string, records long"), "archives")
 
@@ -221,9 +221,7 @@ def pages_of(found: DataFrame) -> DataFrame:
 
 def opquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through an archive and back: what the reader returns of each, and whether its digests held."""
-    folder = f"{common.shared_dir(spark)}/warc-{common.uuid.uuid4().hex[:12]}"
-    common._MADE.append(folder)
-    files = write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    files = write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), common.new_path(spark, "warc"))
     pages = pages_of(read_warc(files))
     return pages.select("page_id", "url", F.md5("html").alias("html_md5"), F.octet_length("html").alias("html_bytes"), "verified")
 
