@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -35,15 +36,15 @@ from pyspark.sql import functions as F
 from . import common
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|signing[_-]?key)"
-ASSIGNED = rf"(?i:\b[a-z0-9_.-]*{NAMES}[a-z0-9_]*)[\"']?\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}[\"']?"
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\,:.-]*?)-----END \1-----")
+ASSIGNED = rf"(?i:{NAMES}[a-z0-9_]{{0,40}})[\"']?\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}[\"']?"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s\\,:.]|-(?!----))*)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{56,}|[A-Za-z0-9_-]{56,})={0,2}(?![A-Za-z0-9+/_=-])")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){48,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){48,}(?![0-9A-Za-z])")
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 OPAQUE = re.compile(ASSIGNED + r"([A-Za-z0-9+/_-]{16,100}={0,2})(?![A-Za-z0-9+/_=-])")
 #: Java pattern that every text with a candidate matches.
-ANY = rf"PRIVATE KEY-----|[A-Za-z0-9+/_-]{{56}}|(?:AKIA|ASIA|AROA|AIDA)[A-Z2-7]{{16}}|[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{2,}}\.|(?i:{NAMES})[A-Za-z0-9_]*[\"']?\s{{0,4}}(?::=|=>|[=:])"
+ANY = rf"PRIVATE KEY-----|[A-Za-z0-9+/_-]{{56}}|(?:AKIA|ASIA|AROA|AIDA)[A-Z2-7]{{16}}|[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{2,}}\.|(?i:{NAMES})[A-Za-z0-9_]{{0,40}}[\"']?\s{{0,4}}(?::=|=>|[=:])"
 SIGNATURES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES256K": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | {a + n: (128, 1024) for a in ("RS", "PS") for n in ("256", "384", "512")}
 
 
@@ -192,11 +193,12 @@ def _opaque(text: str) -> tuple[str, int] | None:
 def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """(kind, start, end, decoded bytes, detail, fingerprint) of each confirmed secret, by start."""
     found: list[tuple[str, int, int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, in order
 
     def add(kind: str, start: int, end: int, size: int, detail: str) -> None:
-        if not any(a < end and start < b for a, b in taken):
-            taken.append((start, end))
+        at = bisect.bisect_left(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
             found.append((kind, start, end, size, detail, hashlib.sha256(text[start:end].encode("utf-8", "replace")).hexdigest()[:16]))
 
     for m in PEM.finditer(text):

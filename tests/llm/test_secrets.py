@@ -5,6 +5,7 @@ import collections
 import json
 import random
 import re
+import time
 
 import pytest
 
@@ -99,3 +100,10 @@ def test_documents_against_every_text(spark, sf):
     assert sorted(map(tuple, secrets.opquery(spark, sf).collect())) == want
     planted = sum(len(re.findall(r"AKIA[A-Z2-7]{16}\b|password=[0-9a-f]{18}\b|token = \"[0-9a-f]{40}\"", t)) for _, t in docs)
     assert len(want) >= planted > 0
+
+
+def test_hostile_texts_take_linear_time():
+    for text in ("a." * 300_000, "secret" * 100_000, "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n" * 20_000, "a-" * 300_000 + "=", "token_" * 50_000 + ": x"):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20
