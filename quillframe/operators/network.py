@@ -19,6 +19,7 @@ from quillframe.functions.vectors import hadamard_mlp, sinkhorn
 
 PAD, EOS, BOS = 0, 1, 2
 TAPS = 4
+STEP = 256
 
 
 @dataclass(frozen=True)
@@ -201,7 +202,8 @@ class Network:
         """Tokens until the end token, the length or the longest sequence, with the signals of each step."""
         rng, state, out, probs, entropies = np.random.default_rng(seed), State(), [], [], []
         prompt = ([BOS] + list(prompt))[: self.c.longest - 1]
-        step = self.advance(state, np.array(prompt))[0][-1]
+        for at in range(0, len(prompt), STEP):  # scores of a part against all before it, never of a whole long prompt
+            step = self.advance(state, np.array(prompt[at : at + STEP]))[0][-1]
         while len(out) < most and len(state.tokens) < self.c.longest:
             p = softmax(step)
             token = int(p.argmax()) if temperature <= 0 else int((step / temperature + rng.gumbel(size=len(step))).argmax())

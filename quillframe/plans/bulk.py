@@ -86,11 +86,13 @@ def rotated_quant(spark, sf):
 
 @query(None)
 def tiny_forward(spark, sf):
-    """Greedy continuation of every turn by a seeded network, with the signals of its steps."""
-    c = net.Config()
+    """Greedy continuation of every whole turn by a seeded network that holds the longest, with the signals of its steps."""
+    turns, most = table(spark, sf, "conversations"), 4
+    longest = turns.agg(F.max(F.length("text"))).first()[0] or 0
+    c = net.Config(longest=longest + most + 2)
     model = net.Network(c, net.init(c))
-    t = table(spark, sf, "conversations").select("conv_id", "turn", F.transform(F.slice(code_points(F.col("text")), -64, 64), lambda x: x % 256).alias("prompt"))
-    rows = net.generate(t.withColumn("prompt", F.when(F.size("prompt") > 0, F.col("prompt"))), "prompt", model, most=4)
+    t = turns.select("conv_id", "turn", F.transform(code_points(F.col("text")), lambda x: x % 256).alias("prompt"))
+    rows = net.generate(t.withColumn("prompt", F.when(F.size("prompt") > 0, F.col("prompt"))), "prompt", model, most=most)
     return rows.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), "min_prob", "mean_logprob", "max_entropy")
 
 

@@ -48,6 +48,27 @@ def test_generate_and_heads(spark, model):
     assert rows[0].tokens == out["tokens"] and len(net.embed(df, "p", model).first().vector) == 32
 
 
+def test_tiny_forward_sees_whole_turns(spark, tmp_path):
+    from quillframe.plans import bulk
+
+    texts = ["short", "", "a" + "same tail of two turns " * 40, "b" + "same tail of two turns " * 40, "z" * 70, None]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    c = net.Config(longest=2000)
+    whole = net.Network(c, net.init(c))
+    got = {r.turn: r for r in bulk.tiny_forward(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        tokens, probs = [net.BOS, *(ord(x) % 256 for x in text or "")], []
+        while len(probs) < 4:
+            p = net.softmax(whole.logits(np.array(tokens))[-1])
+            if p.argmax() == net.EOS:
+                break
+            tokens.append(int(p.argmax()))
+            probs.append(float(p.max()))
+        assert got[i].n_tokens == len(probs) and got[i].min_prob == pytest.approx(min(probs, default=0.0), rel=1e-6)
+
+
 def test_merge_average_and_budget():
     c = net.Config()
     p = net.init(c)
