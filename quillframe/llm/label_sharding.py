@@ -5,6 +5,8 @@ weight 1 / (documents - 1) a pair, so that what everybody has hardly pulls. Shar
 round each linked document finds the shard that holds most of its weighted neighbours; those whose turn it is (a hash of
 document and round, so that partners don't just swap) ask to move. Requests between two shards in both directions cancel
 out and are granted pairwise; what remains is granted while the target has room below its capacity, the largest gains first.
+The query goes on until QUIET rounds, in which every document has had its turn, don't lower the weight of the links cut, and
+gives the shards of the least cut; moves may go on then, as two documents can swap places forever without lowering it.
 All is joins and sums over (document, line) pairs: a line of n documents costs n rows and at most one a shard, never n * n.
 
 Defined results: null and empty texts and texts without a shared line have no links and keep the shard dealt to them;
@@ -15,15 +17,18 @@ gives an empty result. No shard ever exceeds ceil(rows / shards * (1 + SLACK)).
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 SHARDS, SLACK, ROUNDS, MIN_LINE, UNIT = 16, 0.05, 6, 20, 1 << 20
+#: In so many rounds every document has had its turn: turn_of gives a row the same bit in two rounds running, never in three.
+QUIET = 3
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -66,8 +71,8 @@ def turn_of(rid, round_: int):
     return (rid % (1 << 31) * 2654435 + round_ * 40503 * 977) % 65521 % 2
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, shard) of each row."""
+def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int | None = ROUNDS) -> DataFrame:
+    """(doc_id, shard) of each row after so many rounds; with None as many as it takes to settle."""
     spark = docs.sparkSession
     rows = numbered(docs)
     edges = links(rows)
@@ -75,21 +80,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: i
     capacity = math.ceil(count / shards * (1 + slack))
     sizes = [count // shards + (s < count % shards) for s in range(shards)]
     labels = common.settle(edges.select("rid").distinct().withColumn("shard", (F.col("rid") % shards).cast("int")), "labels")
-    for k in range(rounds):
+    most, stay, last = -1, labels, 0
+    for k in itertools.count() if rounds is None else range(rounds):
         own = edges.join(labels, "rid")
         at = own.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
         votes = own.withColumnRenamed("shard", "mine").join(at, "hub")
         pull = (F.col("c") - (F.col("shard") == F.col("mine")).cast("int")) * F.col("w")
         votes = votes.groupBy("rid", "mine", "shard").agg(F.sum(pull).alias("pull"))
         best = votes.groupBy("rid", "mine").agg(F.max(F.struct(F.col("pull"), (-F.col("shard")).alias("other"))).alias("best"), F.coalesce(F.max(F.when(F.col("shard") == F.col("mine"), F.col("pull"))), F.lit(0)).alias("here"))
+        seen = Observation()
+        best = best.observe(seen, F.coalesce(F.sum("here"), F.lit(0)).alias("kept"))
         want = best.select("rid", F.col("mine").alias("a"), (-F.col("best.other")).alias("b"), (F.col("best.pull") - F.col("here")).alias("gain"))
         want = common.settle(want.filter((F.col("a") != F.col("b")) & (F.col("gain") > 0) & (turn_of(F.col("rid"), k) == 0)), "wishes")
+        if rounds is None:
+            if seen.get["kept"] > most:
+                most, stay, last = seen.get["kept"], labels, k
+            elif k - last >= QUIET:
+                labels = stay
+                break
         asked = {(r.a, r.b): r.n for r in want.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards ** 2 rows
         granted = {p: n for p, n in grants(asked, sizes, capacity).items() if n}
-        if not granted:
-            if not asked and k + 1 < rounds:
-                continue
-            break
+        if not granted:  # the other half's turn is still to come
+            continue
         for (a, b), n in granted.items():
             sizes[a] -= n
             sizes[b] += n
@@ -101,4 +113,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: i
 
 
 def opquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), rounds=None)

@@ -110,6 +110,23 @@ def test_sharding_equals_brute_force_and_cuts_less(spark, sf):
     assert cut(label, by) < 0.6 * cut({i: i % ls.SHARDS for i, _, _ in rows}, by)
 
 
+def test_query_shards_until_the_cut_no_longer_falls(spark, sf):
+    rows = [(r.rid, r.hubs, r.doc_id) for r in ls.numbered(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    got = {r.doc_id: r.shard for r in ls.opquery(spark, sf).collect()}
+    final, rounds, cuts = {i: got[d] for i, _, d in rows}, 0, []
+    while True:
+        label, by, capacity = brute([r[:2] for r in rows], ls.SHARDS, ls.SLACK, rounds)
+        cuts.append(cut(label, by))
+        if label == final:
+            break
+        rounds += 1
+        assert rounds < 200
+    after = [cut(brute([r[:2] for r in rows], ls.SHARDS, ls.SLACK, rounds + k)[0], by) for k in range(1, ls.QUIET + 1)]
+    assert rounds > ls.ROUNDS and min(after) >= cuts[-1] - 1e-6
+    assert max(collections.Counter(got.values()).values()) <= capacity
+    assert all(len({ls.turn_of(i, k + j) for j in range(ls.QUIET)}) == 2 for i in range(300) for k in range(60))
+
+
 def test_sharding_awkward(spark):
     line = "one line that is long enough to count\n"
     rows = [(1, None), (2, ""), (3, line), (3, line), (None, line + "x"), (4, line * 5000 + "another line of sufficient length"), (5, "another line of sufficient length")]
