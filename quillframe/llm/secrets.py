@@ -39,12 +39,13 @@ NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key
 ASSIGNED = rf"(?i:{NAMES}[a-z0-9_]{{0,40}})[\"']?\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}[\"']?"
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s\\,:.]|-(?!----))*)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{56,}|[A-Za-z0-9_-]{56,})={0,2}(?![A-Za-z0-9+/_=-])")
-HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){48,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){48,}(?![0-9A-Za-z])")
+#: From 23 bytes on, a SEC 1 key of 16 bytes without parameters, the shortest that parse_der confirms.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{31,}|[A-Za-z0-9_-]{31,})={0,2}(?![A-Za-z0-9+/_=-])")
+HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){23,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){23,}(?![0-9A-Za-z])")
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)([A-Z2-7]{16})(?![A-Za-z0-9])")
-OPAQUE = re.compile(ASSIGNED + r"([A-Za-z0-9+/_-]{16,100}={0,2})(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(ASSIGNED + r"([A-Za-z0-9+/_-]{16,128}={0,2})(?![A-Za-z0-9+/_=-])")
 #: Java pattern that every text with a candidate matches.
-ANY = rf"PRIVATE KEY-----|[A-Za-z0-9+/_-]{{56}}|(?:AKIA|ASIA|AROA|AIDA)[A-Z2-7]{{16}}|[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{2,}}\.|(?i:{NAMES})[A-Za-z0-9_]{{0,40}}[\"']?\s{{0,4}}(?::=|=>|[=:])"
+ANY = rf"PRIVATE KEY-----|[A-Za-z0-9+/_-]{{31}}|(?:AKIA|ASIA|AROA|AIDA)[A-Z2-7]{{16}}|[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{2,}}\.|(?i:{NAMES})[A-Za-z0-9_]{{0,40}}[\"']?\s{{0,4}}(?::=|=>|[=:])"
 SIGNATURES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES256K": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | {a + n: (128, 1024) for a in ("RS", "PS") for n in ("256", "384", "512")}
 
 

@@ -107,3 +107,15 @@ def test_hostile_texts_take_linear_time():
         began = time.time()
         secrets.scan(text)
         assert time.time() - began < 20
+
+
+def test_long_opaque_keys_and_short_bare_ec_keys():
+    rng = random.Random(7)
+    text = f'signing_key = "{rng.randbytes(64).hex()}"'
+    assert [(k, n) for k, _, _, n, *_ in secrets.scan(text)] == [("hex_key", 64)]
+    for size in (16, 20, 24, 28, 32):
+        key = der(0x30, number(1), der(4, rng.randbytes(size)))
+        for shown in (b64(key), b64(key).rstrip("="), url(key), key.hex(), key.hex().upper()):
+            assert [k for k, *_ in secrets.scan(f"see {shown} here")] == ["ec_private_key"]
+            assert re.search(secrets.ANY, f"see {shown} here")
+            assert not secrets.scan(f"see {shown[:-4]} here")
