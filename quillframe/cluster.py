@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,8 +57,29 @@ def _clean() -> None:
         try:
             if spark is not None:
                 drop(spark, path)
-        except Exception:  # the session may have ended first; the folder belongs to the cluster then
-            return
+        except Exception:  # the session may have ended first
+            spark = None
+        if spark is None and path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+
+
+class Scratch:
+    """Tables settled inside a ``with`` block are deleted at its end, but for those passed to keep()."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.before, self.kept = spark, set(_MADE), set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The settled DataFrame, whose table stays."""
+        self.kept.add(df._settled)
+        return df
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in set(_MADE) - self.before - self.kept:
+            drop(self.spark, path)
 
 
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
@@ -67,7 +92,9 @@ def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The same rows, read back from a written table."""
     path = write_table(df, name, compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
