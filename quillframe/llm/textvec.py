@@ -64,14 +64,12 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator[
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the offsets of the documents in them."""
+def _runs(data: np.ndarray, edges: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, unmixed hashes) of the words of one block; edges are the places where documents begin."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~parts[data]
     edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
+    edge[edges] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:n]
     stop = inside.copy()
@@ -81,8 +79,31 @@ def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE) -> t
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        found = (total[stops] - total[starts]) * inverse[starts]
-    return mix(found), np.searchsorted(starts, offsets)
+        return starts, stops, (total[stops] - total[starts]) * inverse[starts]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE, block: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the offsets of the documents in them.
+
+    Bytes are taken block by block, so that room beyond the result doesn't grow with a text; the hash of a word that
+    a block's end cuts is carried on.
+    """
+    found, places, run = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for low in range(0, len(data), block):
+        high = min(len(data), low + block)
+        edges = offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high)] - low
+        starts, stops, part = _runs(data[low:high], edges, parts)
+        ahead = int(stops[-1] - starts[-1]) if len(stops) and stops[-1] == high - low else 0
+        if run and len(starts) and starts[0] == 0 and not (len(edges) and edges[0] == 0):
+            with np.errstate(over="ignore"):
+                found[-1][-1] += np.uint64(pow(int(_P), run, 1 << 64)) * part[0]
+            ahead += run if ahead and len(starts) == 1 else 0
+            starts, part = starts[1:], part[1:]
+        run = ahead
+        if len(starts):
+            found.append(part)
+            places.append(starts + low)
+    return mix(np.concatenate(found)), np.searchsorted(np.concatenate(places), offsets)
 
 
 def shingles(found: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +132,18 @@ def distinct(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(parts) if parts else found[:0]), np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)].astype(np.int64)
 
 
+def shingle_sets(data: np.ndarray, at: np.ndarray, width: int, block: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each document and their offsets; the runs of a long document are taken in blocks."""
+    found, word_at = words(data, at, NOT_WORD)
+    if len(at) > 2 or len(found) <= block:
+        return distinct(*shingles(found, word_at, width))
+    sets = np.zeros(0, np.uint64)
+    for low in range(0, len(found) - width + 1, block):
+        part = found[low : low + block + width - 1]
+        sets = np.union1d(sets, shingles(part, np.array([0, len(part)]), width)[0])
+    return sets, np.array([0, len(sets)])
+
+
 def long_lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
