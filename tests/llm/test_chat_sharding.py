@@ -3,9 +3,12 @@
 import collections
 import itertools
 import math
+import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 
 from quillframe.llm import chat_transcripts as ct
 from quillframe.llm import label_sharding as ls
@@ -58,16 +61,21 @@ def test_transcripts_awkward(spark, conversations):
     assert ct.parse(ct.write_out(none), ct.train(none)).count() == 0
 
 
-def brute(rows, shards, slack, rounds):
-    """Shard of each row number by the same rules, in plain Python."""
+def slice_of(rid, k):
+    """Spark's xxhash64 of a bigint and an int."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", k), seed=xxhash.xxh64_intdigest(struct.pack("<q", rid), seed=42))
+    return (h - (h >> 63 << 64)) % ls.SLICES
+
+
+def brute(count, edges, shards, slack):
+    """The shard of each row number after 0, 1, 2, ... rounds by the same rules, in plain Python."""
     by = collections.defaultdict(list)
-    for rid, hubs in rows:
-        for h in hubs:
-            by[h].append(rid)
-    by = {h: m for h, m in by.items() if len(m) > 1}
-    label = {rid: rid % shards for rid, _ in rows}
-    capacity = math.ceil(len(rows) / shards * (1 + slack))
-    for k in range(rounds):
+    for rid, hub in edges:
+        by[hub].append(rid)
+    label = {rid: rid * shards // count for rid in range(count)}
+    capacity = math.ceil(count / shards * (1 + slack))
+    for k in itertools.count():
+        yield dict(label), by, capacity
         pull = collections.defaultdict(collections.Counter)
         for members in by.values():
             at = collections.Counter(label[m] for m in members)
@@ -75,17 +83,18 @@ def brute(rows, shards, slack, rounds):
             for m in members:
                 for s, c in at.items():
                     pull[m][s] += (c - (s == label[m])) * w
-        asked = collections.defaultdict(list)
+        asked = collections.defaultdict(lambda: collections.defaultdict(list))
         for m, c in pull.items():
             n, s = max((n, -s) for s, n in c.items())
             gain = n - c.get(label[m], 0)
             if -s != label[m] and gain > 0 and ls.turn_of(m, k) == 0:
-                asked[label[m], -s].append((-gain, m))
+                asked[label[m], -s][-(gain.bit_length() - 1), slice_of(m, k)].append(m)
         sizes = [sum(1 for x in label.values() if x == s) for s in range(shards)]
-        for (a, b), n in ls.grants({p: len(v) for p, v in asked.items()}, sizes, capacity).items():
-            for _, m in sorted(asked[a, b])[:n]:
-                label[m] = b
-    return label, by, capacity
+        groups = {p: [(-level, s, len(m)) for (level, s), m in sorted(v.items())] for p, v in asked.items()}
+        for (a, b), taken in ls.grants(groups, sizes, capacity).items():
+            for level, s, _ in taken:
+                for m in asked[a, b][-level, s]:
+                    label[m] = b
 
 
 def cut(label, by):
@@ -99,34 +108,49 @@ def cut(label, by):
     return lost / whole
 
 
-def test_sharding_equals_brute_force_and_cuts_less(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").coalesce(1)
-    rows = [(r.rid, r.hubs, r.doc_id) for r in ls.numbered(docs).collect()]
-    assert sorted(r[0] for r in rows) == list(range(len(rows)))
-    label, by, capacity = brute([r[:2] for r in rows], ls.SHARDS, ls.SLACK, ls.ROUNDS)
-    got = {r.doc_id: r.shard for r in ls.shard(docs).collect()}
-    assert got == {d: label[i] for i, _, d in rows}
-    assert max(collections.Counter(got.values()).values()) <= capacity
-    assert cut(label, by) < 0.6 * cut({i: i % ls.SHARDS for i, _, _ in rows}, by)
+def parts_of(docs):
+    rows, edges = ls.linked(docs)
+    return {r.rid: r.doc_id for r in rows.collect()}, [(e.rid, e.hub) for e in edges.collect()]
 
 
-def test_query_shards_until_the_cut_no_longer_falls(spark, sf):
-    rows = [(r.rid, r.hubs, r.doc_id) for r in ls.numbered(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
-    got = {r.doc_id: r.shard for r in ls.opquery(spark, sf).collect()}
-    final, rounds, cuts = {i: got[d] for i, _, d in rows}, 0, []
-    while True:
-        label, by, capacity = brute([r[:2] for r in rows], ls.SHARDS, ls.SLACK, rounds)
+def test_sharding_equals_brute_force_until_the_cut_no_longer_falls(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids, edges = parts_of(docs)
+    assert sorted(ids) == list(range(len(ids)))
+    got, cuts, states = {r.doc_id: r.shard for r in ls.opquery(spark, sf).collect()}, [], []
+    for label, by, capacity in brute(len(ids), edges, ls.SHARDS, ls.SLACK):
+        states.append({ids[i]: s for i, s in label.items()})
         cuts.append(cut(label, by))
-        if label == final:
+        assert max(collections.Counter(label.values()).values()) <= capacity
+        if len(cuts) > 40:
             break
-        rounds += 1
-        assert rounds < 200
-    after = [cut(brute([r[:2] for r in rows], ls.SHARDS, ls.SLACK, rounds + k)[0], by) for k in range(1, ls.QUIET + 1)]
-    assert rounds > ls.ROUNDS and min(after) >= cuts[-1] - 1e-6
-    assert max(collections.Counter(got.values()).values()) <= capacity
+    best = states.index(got)
+    print(f"cut {cuts[0]:.3f} as dealt out, {cuts[best]:.3f} after {best} rounds, {min(cuts):.3f} the least of 40")
+    assert cuts[best] == min(cuts[: best + ls.QUIET + 1]) and cuts[best] < cut({i: i % ls.SHARDS for i in ids}, by) * 0.4
+    assert {r.doc_id: r.shard for r in ls.shard(docs, rounds=2).collect()} == states[2]
     assert all(len({ls.turn_of(i, k + j) for j in range(ls.QUIET)}) == 2 for i in range(300) for k in range(60))
 
 
+def test_the_layout_of_the_table_makes_no_difference(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.filter("doc_id % 3 = 0")
+    one = sorted(map(tuple, ls.shard(docs.coalesce(1)).collect()))
+    assert one == sorted(map(tuple, ls.shard(docs.repartition(7, "text")).collect()))
+
+
+def test_grants_never_exceed_the_capacity():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = [rng.randint(5, 10) for _ in range(4)]
+        groups = {(a, b): [(-i, 0, rng.randint(1, 3)) for i in range(rng.randint(1, 3))] for a in range(4) for b in range(4) if a != b and rng.random() < 0.6}
+        after = list(sizes)
+        for (a, b), x in ls.grants(groups, sizes, 10).items():
+            assert x == groups[a, b][: len(x)]
+            after[a] -= sum(g[2] for g in x)
+            after[b] += sum(g[2] for g in x)
+        assert max(after) <= 10
+
+
 def test_sharding_awkward(spark):
     line = "one line that is long enough to count\n"
     rows = [(1, None), (2, ""), (3, line), (3, line), (None, line + "x"), (4, line * 5000 + "another line of sufficient length"), (5, "another line of sufficient length")]
