@@ -4,19 +4,22 @@ Candidates are runs of base64, base64url, hex or base32 characters. A candidate
 have the structure of a credential:
 
 * ``rsa_private_key``, ``pkcs8_private_key``, ``ec_private_key``, ``encrypted_private_key``: DER whose nested lengths add
-  up exactly and whose fields are those of the encoding (PKCS#1, PKCS#8, SEC 1), in a PEM block, bare base64 or hex;
+  up exactly and whose fields are those of the encoding (PKCS#1, PKCS#8 with the key that its algorithm calls for inside,
+  SEC 1), in a PEM block, bare base64, whole or wrapped over lines, or hex;
 * ``openssh_private_key``: the OpenSSH container, all of whose length-prefixed fields fit;
 * ``signed_token``: a header and a payload of JSON objects, the header naming an algorithm and the signature having
   the length that this algorithm gives;
 * ``access_key_id``: a four-letter prefix of a cloud access key followed by 16 base32 characters (10 whole bytes);
-* ``hex_key``, ``base64_key``: an opaque key, which has no inner structure: it must be assigned to a name that says so,
-  decode to 8 to 64 whole bytes and look random (enough distinct symbols and bytes, digits as well as letters).
+* ``hex_key``, ``base64_key``: an opaque key, which has no inner structure and is reported apart, with structural false: it
+  must be assigned to a name that says so, decode to 8 to 64 whole bytes and look random (enough distinct symbols and
+  bytes, digits as well as letters).
 
 What is reported is the kind, the place (in characters), the decoded size, what the structure says and a SHA-256 prefix;
 never the secret itself. Texts without any candidate never leave the JVM.
 
 Defined results: null and empty texts give nothing; repeated rows are each reported; a secret inside another (a token
-in a PEM block) is reported once, as the outer one; extra columns are ignored; an empty table gives an empty result.
+in a PEM block) is reported once, as the outer one, and of two that overlap the kind listed first wins; a very long text is
+scanned whole, in time linear in its length; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: From 23 bytes on, a SEC 1 key of 16 bytes without parameters, the shortest that parse_der confirms.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{31,}|[A-Za-z0-9_-]{31,})={0,2}(?![A-Za-z0-9+/_=-])")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40,76}(?:\r?\n[ \t]{0,16}[A-Za-z0-9+/]{40,76})*(?:\r?\n[ \t]{0,16}[A-Za-z0-9+/]{2,76}={0,2})(?![A-Za-z0-9+/=_-])")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){23,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){23,}(?![0-9A-Za-z])")
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 OPAQUE = re.compile(ASSIGNED + r"([A-Za-z0-9+/_-]{16,128}={0,2})(?![A-Za-z0-9+/_=-])")
@@ -106,8 +110,10 @@ def parse_der(data: bytes) -> tuple[str, str] | None:
         return "rsa_private_key", f"modulus {whole[1].bit_length()} bits"
     if len(tags) >= 3 and tags[:3] == [0x02, 0x30, 0x04] and whole[0] in (0, 1):
         algorithm = _children(data, parts[1][1], parts[1][2])
-        if algorithm and algorithm[0][0] == 0x06:
-            return "pkcs8_private_key", f"algorithm {_oid(data[algorithm[0][1] : algorithm[0][2]])}"
+        if algorithm and algorithm[0][0] == 0x06 and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:]):
+            oid = _oid(data[algorithm[0][1] : algorithm[0][2]])
+            if _inner_key(oid, data[parts[2][1] : parts[2][2]]):
+                return "pkcs8_private_key", f"algorithm {oid}"
     if len(tags) >= 2 and tags[:2] == [0x02, 0x04] and whole[0] == 1 and 16 <= parts[1][2] - parts[1][1] <= 72 and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return "ec_private_key", f"{8 * (parts[1][2] - parts[1][1])} bits"
     if tags == [0x30, 0x04]:
@@ -117,6 +123,26 @@ def parse_der(data: bytes) -> tuple[str, str] | None:
     return None
 
 
+#: Bytes of the keys on Edwards and Montgomery curves, by algorithm.
+CURVE_KEYS = {"1.3.101.110": 32, "1.3.101.111": 56, "1.3.101.112": 32, "1.3.101.113": 57}
+
+
+def _inner_key(oid: str, data: bytes) -> bool:
+    """Whether the octets inside a PKCS#8 key are what its algorithm calls for."""
+    top = _tlv(data, 0, len(data))
+    if top is None or top[2] != len(data):
+        return False
+    if oid in ("1.2.840.113549.1.1.1", "1.2.840.113549.1.1.10"):
+        found = parse_der(data)
+        return found is not None and found[0] == "rsa_private_key"
+    if oid == "1.2.840.10045.2.1":
+        found = parse_der(data)
+        return found is not None and found[0] == "ec_private_key"
+    if oid in CURVE_KEYS:
+        return top[0] == 0x04 and top[2] - top[1] == CURVE_KEYS[oid]
+    return oid in ("1.2.840.10040.4.1", "1.2.840.113549.1.3.1", "1.2.840.10046.2.1") and top[0] == 0x02 and top[2] - top[1] >= 16
+
+
 def _oid(data: bytes) -> str:
     out, value = [], 0
     for b in data:
@@ -153,6 +179,8 @@ def parse_openssh(data: bytes) -> tuple[str, str] | None:
     private = take()
     if not 1 <= keys <= 16 or None in public or not private or at != len(data):
         return None
+    if fields[0] == b"none" and (len(private) < 8 or private[:4] != private[4:8]):  # the check number stands there twice
+        return None
     size = int.from_bytes(public[0][:4], "big")
     return "openssh_private_key", f"{public[0][4 : 4 + size].decode('ascii', 'replace')}, cipher {fields[0].decode('ascii', 'replace')}"
 
@@ -219,6 +247,11 @@ def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
         kind = _parse(data)
         if kind:
             add(kind[0], m.start(), m.end(), len(data), kind[1])
+    for m in WRAPPED.finditer(text):
+        data = _base64(re.sub(r"\s", "", m[0]))
+        kind = _parse(data)
+        if kind:
+            add(kind[0], m.start(), m.end(), len(data), kind[1])
     for m in HEX.finditer(text):
         data = bytes.fromhex(m[0])
         kind = _parse(data)
@@ -235,7 +268,7 @@ def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, end, n_bytes, detail, fingerprint) of every confirmed secret."""
+    """(doc_id, kind, start, end, n_bytes, detail, fingerprint, structural) of every secret; structural is false for opaque keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +278,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "kind", "start", "end", "n_bytes", "detail", "fingerprint"])
 
     hits = common.need(docs, "doc_id", "text").filter(F.col("text").rlike(ANY))
-    return hits.mapInArrow(run, "doc_id long, kind string, start int, end int, n_bytes int, detail string, fingerprint string")
+    found = hits.mapInArrow(run, "doc_id long, kind string, start int, end int, n_bytes int, detail string, fingerprint string")
+    return found.withColumn("structural", ~F.col("kind").isin("hex_key", "base64_key"))
 
 
 def opquery(spark: SparkSession, sf_dir: str) -> DataFrame:

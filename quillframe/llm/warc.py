@@ -4,13 +4,17 @@ The reader streams each file once: members are decompressed incrementally, the h
 is complete, the block is framed by Content-Length, and the digests of block and payload are computed over what was read.
 A file is a task's unit, since the places of members are known only by reading; files are opened through Arrow's file
 systems, so they may lie on any store that those know. Damage never ends a file: the damaged member gives a row with an
-error and reading goes on at the next gzip magic.
+error and reading goes on at the next gzip magic after its start, which is found by seeking back, so no member's raw bytes
+are kept. A header may take HEAD bytes and a block LARGEST; decompression goes in pieces, so a member that would expand
+without end takes no more room than that.
 
 Defined results: a null html is archived as a metadata record without block and comes back null; an empty html comes back
 empty; null urls and page_ids leave their headers out and come back null; repeated rows are repeated records; extra columns
 are ignored; an empty table or an empty file gives no rows. A record cut off by the end of the file has error
 "truncated", one whose member can't be decompressed "bad gzip", one whose length isn't its Content-Length "length",
-one without a WARC header "header"; a wrong digest sets verified to false.
+one without a WARC header "header", one with a longer block than LARGEST "too long"; a wrong digest sets verified to false.
+Pages needn't be UTF-8: what isn't comes back with replacement characters, and verified speaks of the bytes. Long pages are
+framed and digested piece by piece; ties can't occur.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from . import common
 
 MAGIC = b"\x1f\x8b\x08"
 READ, FLUSH = 1 << 18, 8 << 20
+HEAD, LARGEST = 1 << 20, 1 << 29
 SCHEMA = "file string, offset long, type string, record_id string, url string, html binary, verified boolean, error string"
 
 
@@ -90,14 +95,16 @@ class _Record:
         self.block = bytearray()
         self.rest = bytearray()
         self.sha = hashlib.sha1()
-        self.length = 0
-        self.wrong = False
+        self.length = self.size = 0
+        self.wrong = self.long = False
 
     def feed(self, data: bytes) -> None:
         if self.fields is None and not self.wrong:
+            seen = max(0, len(self.head) - 3)
             self.head += data
-            end = self.head.find(b"\r\n\r\n")
+            end = self.head.find(b"\r\n\r\n", seen)
             if end < 0:
+                self.wrong = len(self.head) > HEAD
                 return
             lines = bytes(self.head[:end]).decode("utf-8", "replace").split("\r\n")
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -105,21 +112,26 @@ class _Record:
                 self.wrong = True
                 return
             self.fields, self.length = fields, int(fields["content-length"])
+            self.long = self.length > LARGEST
             data, self.head = bytes(self.head[end + 4 :]), bytearray()
         if self.wrong:
             return
-        take = data[: self.length - len(self.block)]
+        take = data[: self.length - self.size]
         self.sha.update(take)
-        self.block += take
+        self.size += len(take)
+        if not self.long:
+            self.block += take
         if len(take) < len(data):
             self.rest += data[len(take) : len(take) + 5 - len(self.rest)]
 
     def row(self, file: str, offset: int, error: str | None) -> tuple:
         if self.fields is None:
             return file, offset, None, None, None, None, False, error or "header"
-        if error is None and (len(self.block) != self.length or bytes(self.rest) != b"\r\n\r\n"):
+        if error is None and (self.size != self.length or bytes(self.rest) != b"\r\n\r\n"):
             error = "length"
         f, kind = self.fields, self.fields.get("warc-type")
+        if self.long:
+            return file, offset, kind, f.get("warc-record-id"), f.get("warc-target-uri"), None, False, error or "too long"
         body: bytes | None = bytes(self.block)
         if kind == "response":
             head, gap, payload = body.partition(b"\r\n\r\n")
@@ -134,55 +146,53 @@ class _Record:
 
 
 def records(stream, file: str) -> Iterator[tuple]:
-    """All records of an open stream, in order."""
-    buffer, offset, ended = b"", 0, False
-
-    def more() -> bool:
-        nonlocal buffer, ended
-        piece = stream.read(READ)
-        ended = not piece
-        buffer += piece
-        return not ended
-
+    """All records of an open stream that can be sought in, in order."""
+    start = 0
     while True:
-        while len(buffer) < len(MAGIC) and more():
-            pass
-        if not buffer:
+        stream.seek(start)
+        lead = stream.read(len(MAGIC))
+        if not lead:
             return
-        start = offset
-        unpack, record, error, used = zlib.decompressobj(31), _Record(), None, 0
-        if buffer.startswith(MAGIC):
-            kept = b""  # the member's raw bytes, for a new start inside them if it turns out damaged
+        error = None
+        if lead == MAGIC:
+            unpack, record, read, rest = zlib.decompressobj(31), _Record(), len(MAGIC), lead
             try:
                 while not unpack.eof:
-                    if not buffer and not more():
-                        error = "truncated"
-                        break
-                    piece, buffer = buffer, b""
-                    kept += piece
-                    record.feed(unpack.decompress(piece))
+                    if not rest:
+                        rest = stream.read(READ)
+                        read += len(rest)
+                        if not rest:
+                            error = "truncated"
+                            break
+                    record.feed(unpack.decompress(rest, READ * 4))
+                    rest = unpack.unconsumed_tail
             except zlib.error:
                 error = "bad gzip"
             if error is None:
-                buffer = unpack.unused_data
-                offset = start + len(kept) - len(buffer)
                 yield record.row(file, start, None)
+                start += read - len(unpack.unused_data)
                 continue
-            buffer = kept + buffer
         else:
             error = "bad gzip"
         yield (file, start, None, None, None, None, False, error) if error == "bad gzip" else record.row(file, start, error)
-        used = 1  # look for the next magic after this one
-        while True:
-            at = buffer.find(MAGIC, used)
-            if at >= 0:
-                buffer, offset = buffer[at:], start + at
-                break
-            keep = max(used, len(buffer) - len(MAGIC) + 1)
-            start += keep
-            buffer, used = buffer[keep:], 0
-            if ended or not more():
-                return
+        start = _next_magic(stream, start + 1)
+        if start < 0:
+            return
+
+
+def _next_magic(stream, start: int) -> int:
+    """The place of the next magic from a place on, -1 without one."""
+    stream.seek(start)
+    buffer = b""
+    while piece := stream.read(READ):
+        buffer += piece
+        at = buffer.find(MAGIC)
+        if at >= 0:
+            return start + at
+        keep = min(len(buffer), len(MAGIC) - 1)
+        start += len(buffer) - keep
+        buffer = buffer[len(buffer) - keep :]
+    return -1
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -199,7 +209,7 @@ def read_warc(files: DataFrame) -> DataFrame:
             for file in batch.column("file").to_pylist():
                 store, path = fs.FileSystem.from_uri(file)
                 rows, size = [], 0
-                with store.open_input_stream(path, compression=None) as stream:
+                with store.open_input_file(path) as stream:
                     for row in records(stream, file):
                         rows.append(row)
                         size += len(row[5] or b"") + 200
@@ -216,14 +226,13 @@ def read_warc(files: DataFrame) -> DataFrame:
 def pages_of(found: DataFrame) -> DataFrame:
     """(page_id, url, html, verified, error) of the page records."""
     page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1)
-    return found.filter("type is null or type != 'warcinfo'").select(F.when(page != "", page.cast("long")).alias("page_id"), "url", F.decode("html", "UTF-8").alias("html"), "verified", "error")
+    return found.filter("type is null or type != 'warcinfo'").select(F.when(page != "", page.cast("long")).alias("page_id"), "url", F.make_valid_utf8(F.col("html").cast("string")).alias("html"), "verified", "error")
 
 
 def opquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages through an archive and back: what the reader returns of each, and whether its digests held."""
+    """All pages through an archive and back: what the reader returns of each, and whether its digests held. Without a digest, verified says that the frame held."""
     files = write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), common.new_path(spark, "warc"))
-    pages = pages_of(read_warc(files))
-    return pages.select("page_id", "url", F.md5("html").alias("html_md5"), F.octet_length("html").alias("html_bytes"), "verified")
+    return pages_of(read_warc(files))
 
 
-SQL = "SELECT page_id, url, md5(html) AS html_md5, CAST(strlen(html) AS INTEGER) AS html_bytes, true AS verified FROM pages"
+SQL = "SELECT page_id, url, html, true AS verified, CAST(NULL AS VARCHAR) AS error FROM pages"

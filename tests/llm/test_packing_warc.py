@@ -2,6 +2,9 @@
 
 import collections
 import io
+import time
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -116,8 +119,6 @@ def test_warc_damage_costs_only_its_own_record():
 
 
 def test_warc_wrong_length_and_digest(monkeypatch):
-    import zlib
-
     def pack(text):
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
         return z.compress(text) + z.flush()
@@ -127,3 +128,34 @@ def test_warc_wrong_length_and_digest(monkeypatch):
     none = pack(b"HTTP/1.1 200 OK\r\n\r\n")
     monkeypatch.setattr(warc, "READ", 7)
     assert [(r[3], r[4]) for r in read(short + wrong + none)] == [(False, "length"), (False, None), (False, "header")]
+
+
+def packed(text):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(text) + z.flush()
+
+
+def test_warc_pages_that_are_not_utf8(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\n<p>caf\xe9</p>"
+    raw = packed(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: u\xe9\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(raw + warc.page_member(7, "v", "<p>é</p>"))
+    got = warc.pages_of(warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "file string"))).collect()
+    assert [(r.page_id, r.url, r.html, r.verified, r.error) for r in got] == [(None, "u\ufffd", "<p>caf\ufffd</p>", True, None), (7, "v", "<p>é</p>", True, None)]
+
+
+def test_warc_room_is_bounded(monkeypatch):
+    bomb = packed(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + b"\0" * 80_000_000)
+    endless = packed(b"WARC/1.1\r\nX: " + b"y" * 5_000_000)
+    monkeypatch.setattr(warc, "LARGEST", 1 << 20)
+    large = packed(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5000000\r\n\r\n" + b"z" * 5_000_000 + b"\r\n\r\n")
+    tracemalloc.start()
+    got = read(bomb + endless + large + warc.page_member(1, "u", "x"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[4] for r in got] == ["length", "header", "too long", None] and peak < 12 << 20
+
+
+def test_warc_long_members_take_linear_time():
+    data = warc.page_member(1, "u", "".join(chr(33 + i * i * 7919 % 90) for i in range(4_000_000)))
+    began = time.time()
+    assert read(data + data)[1][3] and time.time() - began < 10
