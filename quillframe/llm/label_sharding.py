@@ -8,8 +8,8 @@ each linked document finds the shard that holds most of its weighted neighbours;
 document and round, so that partners don't just swap) ask to move. Requests between two shards in both directions cancel
 out and are granted pairwise; what remains is granted while the target has room below its capacity. Larger gains come first, by
 powers of two and then by a hash of the document, in groups that are granted whole, so no ranking of documents is needed.
-The query goes on until QUIET rounds, in which every document has had its turn, don't lower the weight of the links cut, and
-gives the shards of the least cut; moves may go on then, as two documents can swap places forever without lowering it.
+The query goes on until QUIET rounds, in which every document has had its turn, don't add the share PROGRESS to the weight of
+the links kept, and gives the shards of the least cut; moves may go on then, as two documents can swap places forever without lowering it.
 All is joins and sums over (document, line) pairs: a line of n documents costs n rows and at most one a shard, never n * n.
 
 Defined results: null and empty texts and texts without a shared line have no links and keep the shard dealt to them;
@@ -32,7 +32,7 @@ from . import common
 
 SHARDS, SLACK, MIN_LINE, UNIT = 16, 0.05, 20, 1 << 20
 #: In so many rounds every document has had its turn: turn_of gives a row the same bit in two rounds running, never in three.
-QUIET = 3
+QUIET, PROGRESS = 3, 0.001
 #: Requests of equal gain (by powers of two) fall into so many groups, which are granted whole.
 SLICES = 64
 
@@ -122,7 +122,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: i
         for r in first:
             sizes[r.s] = r["count"]
         labels = common.settle(edges.select("rid").distinct().withColumn("shard", dealt(F.col("rid"), count, shards)), "labels")
-        most, stay, last, idle = -1, labels, 0, 0
+        most, mark, stay, last, idle = -1, -1, labels, 0, 0
         for k in itertools.count() if rounds is None else range(rounds):
             own = edges.join(labels, "rid")
             at = own.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
@@ -136,8 +136,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: i
             want = best.select("rid", F.col("mine").alias("a"), (-F.col("best.other")).alias("b"), F.floor(F.log2(gain)).cast("int").alias("level"), F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(SLICES)).cast("int").alias("slice"), gain.alias("gain"))
             want = common.settle(want.filter((F.col("a") != F.col("b")) & (F.col("gain") > 0) & (turn_of(F.col("rid"), k) == 0)).drop("gain"), "wishes")
             if rounds is None:
-                if seen.get["kept"] > most:
-                    most, stay, last = seen.get["kept"], labels, k
+                kept = seen.get["kept"]
+                if kept > most:
+                    most, stay = kept, labels
+                if kept > mark * (1 + PROGRESS):
+                    mark, last = kept, k
                 elif k - last >= QUIET:
                     labels = stay
                     break
