@@ -97,9 +97,14 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A settled table with a broadcast hint if rows times row_bytes fits the limit, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, text: str | None = None) -> DataFrame:
+    """A settled table with a broadcast hint if its size fits the limit, else as it is (a shuffle join).
+
+    The size is rows times row_bytes, the room of the fixed-width columns, plus the measured bytes of the column text.
+    """
+    words = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    size = df.agg(F.count(F.lit(1)).alias("n"), words.alias("words")).first()
+    return F.broadcast(df) if size.n * row_bytes + size.words <= limit else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
