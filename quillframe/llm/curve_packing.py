@@ -7,8 +7,9 @@ CAPACITY tokens a new pack begins, so all packs but the last are full and a docu
 Tokens are white-space words. Only a slim table (id, key, length) is ever shuffled.
 
 Defined results: null and empty texts have no tokens and lie at their place with an empty span; a document longer than a
-pack fills several; equal documents lie side by side; repeated rows each get their own span; null doc_ids sort first
-within a key. Extra columns are ignored. An empty table gives an empty result.
+pack fills several; equal documents lie side by side; repeated rows (of equal doc_id, key and length) each get their own
+span, and with apart one repeat of each row comes before the next of any, so that none meets itself in a pack; a very long
+text is hashed in blocks; null doc_ids sort first within a key. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.cluster import global_rank
+
 from . import common, textvec
 
 FEATURES, DIMENSIONS, BITS, CAPACITY, SEED = 4096, 4, 10, 2048, 17
@@ -104,15 +107,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "doc_id long, tokens long, key long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(pack_id, pack_start, doc_id, doc_start, doc_end): words doc_start to doc_end of the document lie in the pack from pack_start on."""
-    laid = common.prefix_sums(keyed(docs), ["key", "doc_id", "tokens"], "tokens", "stop")
+def _repeats(rows: DataFrame) -> DataFrame:
+    """rows with the column copy: 0, 1, 2, ... among rows that are alike, without a window over them."""
+    same = ["key", "doc_id", "tokens"]
+    ranked = common.settle(global_rank(rows, same), "ranked")
+    first = ranked.groupBy(*same).agg(F.min("rn").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = common.settle(first.select(F.col("key").alias("f_key"), F.col("doc_id").alias("f_doc"), F.col("tokens").alias("f_tokens"), "first"), "first")
+    match = (F.col("key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("tokens") == F.col("f_tokens"))
+    return ranked.join(common.maybe_broadcast(first, 64), match, "left").select(*same, F.coalesce(F.col("rn") - F.col("first"), F.lit(0)).alias("copy"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, apart: bool = False) -> DataFrame:
+    """(pack_id, pack_start, doc_id, doc_start, doc_end): words doc_start to doc_end of the document lie in the pack from pack_start on.
+
+    With apart there is a column copy, the number of the repeat, which comes before the place on the curve.
+    """
+    with common.Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(common.settle(_pack(docs, capacity, apart), "packs"))
+
+
+def _pack(docs: DataFrame, capacity: int, apart: bool) -> DataFrame:
+    rows, order, more = keyed(docs), ["key", "doc_id", "tokens"], []
+    if apart:
+        rows, order, more = _repeats(rows), ["copy", *order], ["copy"]
+    laid = common.prefix_sums(rows, order, "tokens", "stop")
     begin, size = F.col("stop") - F.col("tokens"), F.lit(capacity)
     last = F.floor((begin + F.greatest(F.col("tokens"), F.lit(1)) - 1) / size)
-    pieces = laid.select("doc_id", "tokens", begin.alias("begin"), F.explode(F.sequence(F.floor(begin / size), last)).alias("pack_id"))
+    pieces = laid.select("doc_id", *more, "tokens", begin.alias("begin"), F.explode(F.sequence(F.floor(begin / size), last)).alias("pack_id"))
     low = F.greatest(F.col("begin"), F.col("pack_id") * size)
     high = F.least(F.col("begin") + F.col("tokens"), (F.col("pack_id") + 1) * size)
-    return pieces.select("pack_id", (low - F.col("pack_id") * size).alias("pack_start"), "doc_id", (low - F.col("begin")).alias("doc_start"), (high - F.col("begin")).alias("doc_end"))
+    return pieces.select("pack_id", (low - F.col("pack_id") * size).alias("pack_start"), "doc_id", *more, (low - F.col("begin")).alias("doc_start"), (high - F.col("begin")).alias("doc_end"))
 
 
 def opquery(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ by the next, longer run. Equality is decided on the bytes themselves: no digest
 
 Defined results: null texts equal nothing, not even one another; empty texts equal one another; repeated rows are copies
 of one another; the representative of a group is its smallest doc_id (nulls last), then the first row read. Extra columns
-are carried through untouched, whatever their names. An empty table gives an empty result.
+are carried through untouched, whatever their names. A very long text is one value whose rest is cut off run by run. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,14 +18,36 @@ from . import common
 
 FIRST_BYTES = 64
 GROWTH = 8
+#: Rows of 64 bits in the table that sorts out single texts.
+FILTER_WORDS = 1 << 20
 
 
-def _survivors(spark: SparkSession, docs: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
-    """(prefix table of the groups with several documents, those documents with a row number rid and their group)."""
+def _with_groups(docs: DataFrame, first: int, grp: str) -> DataFrame:
+    """docs with the number of the group of their first bytes in the column grp, null where nothing else begins so.
+
+    The groups are broadcast while their counted size allows. Beyond that a broadcast table of bits, of FILTER_WORDS rows
+    whatever the corpus, sorts out the texts that begin like no other, so that only candidates' texts are shuffled.
+    """
     prefix = F.substring(F.col("text").cast("binary"), 1, first)
     heads = docs.filter(F.col("text").isNotNull()).groupBy(prefix.alias("head")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = common.settle(heads.select("head").withColumn("grp", F.monotonically_increasing_id()), "heads")
-    return common.maybe_broadcast(heads, first + 32), prefix
+    heads = common.settle(heads.select("head").withColumn("g", F.monotonically_increasing_id()), "heads")
+    head = common.fresh(docs, "head_")
+    side = heads.select(F.col("head").alias(head), F.col("g").alias(grp))
+    if heads.count() * (first + 32) <= common.BROADCAST_BYTES:
+        return docs.join(F.broadcast(side), prefix == F.col(head), "left").drop(head)
+    word, bits = common.fresh(docs, "word_"), common.fresh(docs, "bits_")
+
+    def place(x):
+        h = F.xxhash64(x)
+        return h.bitwiseAND(F.lit(FILTER_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int"))
+
+    at, bit = place(F.col("head"))
+    table = common.settle(heads.groupBy(at.alias(word)).agg(F.bit_or(bit).alias(bits)), "bits")
+    at, bit = place(prefix)
+    flagged = docs.join(F.broadcast(table), at == F.col(word), "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False)) & F.col("text").isNotNull()
+    alone = flagged.filter(~hit).drop(word, bits).withColumn(grp, F.lit(None).cast("long"))
+    return alone.unionByName(flagged.filter(hit).drop(word, bits).join(side, prefix == F.col(head), "left").drop(head))
 
 
 def _refine(rows: DataFrame, first: int) -> DataFrame:
@@ -51,10 +73,8 @@ def _refine(rows: DataFrame, first: int) -> DataFrame:
 
 def exact_groups(docs: DataFrame, first_bytes: int = FIRST_BYTES) -> DataFrame:
     """(doc_id, group_id, copies) for every document that has an exact copy; group_id is the smallest doc_id of the group."""
-    spark = docs.sparkSession
     docs = common.need(docs, "doc_id", "text")
-    heads, prefix = _survivors(spark, docs, first_bytes)
-    rows = docs.join(heads, prefix == F.col("head"))
+    rows = _with_groups(docs, first_bytes, "grp").filter("grp is not null")
     rows = rows.select("doc_id", "grp", F.substring(F.col("text").cast("binary"), first_bytes + 1, 2147483647).alias("rest"))
     rows = common.settle(rows.withColumn("rid", F.monotonically_increasing_id()), "radix")
     found = _refine(rows, first_bytes)
@@ -64,12 +84,11 @@ def exact_groups(docs: DataFrame, first_bytes: int = FIRST_BYTES) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, first_bytes: int = FIRST_BYTES) -> DataFrame:
     """The rows of docs with one row left of each group of equal texts; all columns stay."""
-    spark, columns = docs.sparkSession, docs.columns
-    heads, prefix = _survivors(spark, docs.select("text"), first_bytes)
-    head, grp, rid = (common.fresh(docs, c) for c in ("head", "grp", "rid"))
-    heads = heads.withColumnsRenamed({"head": head, "grp": grp}) if (head, grp) != ("head", "grp") else heads
-    single = docs.join(heads, prefix == F.col(head), "left_anti")
-    active = common.settle(docs.join(heads, prefix == F.col(head)).drop(head).withColumn(rid, F.monotonically_increasing_id()), "active")
+    columns = docs.columns
+    grp, rid = (common.fresh(docs, c) for c in ("grp", "rid"))
+    marked = _with_groups(docs, first_bytes, grp)
+    single = marked.filter(F.col(grp).isNull())
+    active = common.settle(marked.filter(F.col(grp).isNotNull()).withColumn(rid, F.monotonically_increasing_id()), "active")
     rows = active.select(F.col(rid).alias("rid"), "doc_id", F.col(grp).alias("grp"), F.substring(F.col("text").cast("binary"), first_bytes + 1, 2147483647).alias("rest"))
     found = _refine(rows, first_bytes)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))

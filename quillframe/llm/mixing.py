@@ -9,7 +9,8 @@ all documents, which lifts small sources and holds back hot ones. Tokens are est
 
 Defined results: null sources form a source of their own; null and empty texts have 0 tokens and a key like any other;
 rows that tie in key and doc_id (repeated rows) are chosen together; a source without tokens is taken once; sources
-missing from given targets get share 0; null doc_ids all draw the same key. Extra columns are carried through untouched.
+missing from given targets get share 0; null doc_ids all draw the same key; a very long text is a row like any other, taken
+only where the rest of its source's budget holds it; an empty table gives an empty result. Extra columns are carried through untouched.
 """
 
 from __future__ import annotations
@@ -61,14 +62,16 @@ def plan_sources(slim: DataFrame, targets: dict[str, float] | None, alpha: float
 def _cuts(docs: DataFrame, weight: Column, targets: dict[str, float] | None, alpha: float, ratio: float, seed: str) -> DataFrame:
     """(source, epochs, cut): cut is the last (key, doc_id) of the fractional epoch, null where it takes nothing."""
     slim = docs.select(F.col("source").cast("string").alias("source"), "doc_id", tokens_of(F.col("text")).alias("tokens"), key_of(F.col("doc_id"), weight, seed).alias("k"))
+    scratch = common.Scratch(docs.sparkSession)
     slim = common.settle(slim, "mix")
     plan = common.settle(plan_sources(slim, targets, alpha, ratio), "plan")
     run = common.prefix_sums(slim, ["k", "doc_id"], "tokens", "run", within="source", ties_together=True)
-    plan_side = common.maybe_broadcast(plan.select(F.col("source").alias("p_source"), "epochs", "rest"), 64)
+    plan_side = common.maybe_broadcast(plan.select(F.col("source").alias("p_source"), "epochs", "rest"), 64, text="p_source")
     inside = run.join(plan_side, F.col("source").eqNullSafe(F.col("p_source"))).filter("run <= rest")
     cut = inside.groupBy("source").agg(F.max(F.struct("k", "doc_id")).alias("cut")).withColumnRenamed("source", "c_source")
     out = plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select("source", "epochs", "cut")
-    return common.settle(out, "cuts")
+    with scratch:
+        return scratch.keep(common.settle(out, "cuts"))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, targets: dict[str, float] | None = None, alpha: float = ALPHA, ratio: float = BUDGET_RATIO, seed: str = SEED, epoch: str | None = None) -> DataFrame:
@@ -79,7 +82,7 @@ def mix(docs: DataFrame, weight: Column | None = None, targets: dict[str, float]
     weight = weight_of(F.col("text")) if weight is None else weight
     cuts = _cuts(docs, weight, targets, alpha, ratio, seed)
     k, src, eps, cut, copies = (common.fresh(docs, c) for c in ("k", "c_source", "c_epochs", "c_cut", "copies"))
-    side = common.maybe_broadcast(cuts.select(F.col("source").alias(src), F.col("epochs").alias(eps), F.col("cut").alias(cut)), 128)
+    side = common.maybe_broadcast(cuts.select(F.col("source").alias(src), F.col("epochs").alias(eps), F.col("cut").alias(cut)), 96, text=src)
     keyed = docs.withColumn(k, key_of(F.col("doc_id"), weight, seed))
     joined = keyed.join(side, F.col("source").cast("string").eqNullSafe(F.col(src)))
     within = F.coalesce(F.struct(F.col(k).alias("k"), F.col("doc_id").alias("doc_id")) <= F.col(cut), F.lit(False))

@@ -9,7 +9,7 @@ texts. The penalty is the largest whose held-out loss is within a tenth of the b
 
 Defined results: null texts have the statistics of an empty text; without both classes among the labels every document
 scores 1; a doc_id with several labels counts by its lowest quality; null labels are ignored. Repeated rows score
-alike. Extra columns are carried through untouched, whatever their names. An empty table gives an empty result.
+alike, and a probability equal to the threshold is kept. Very long texts count whole. Extra columns are carried through untouched, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -51,6 +51,23 @@ def test_exact_drop_awkward(spark):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
 
 
+def test_exact_beyond_the_broadcast_limit(spark, sf, con, monkeypatch):
+    """The table of bits sends only candidates' texts through the join, and gives the same."""
+    monkeypatch.setattr(exact_dedup.common, "BROADCAST_BYTES", 0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    compare(exact_dedup.exact_groups(docs), con, exact_dedup.SQL)
+    test_exact_drop_awkward(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup._with_groups(docs, exact_dedup.FIRST_BYTES, "grp")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    alone, joined = plan.split("SortMergeJoin")
+    assert "BroadcastHashJoin" in alone and "BroadcastHashJoin" in joined  # the bits are looked up on either side
+    seen = exact_dedup._with_groups(docs, exact_dedup.FIRST_BYTES, "grp").filter("grp is not null").count()
+    assert seen < docs.count() / 2
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_groups(df).count() == 0

@@ -23,7 +23,7 @@ def test_hilbert_visits_each_cell_by_unit_steps(dimensions, bits):
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-def brute(rows, capacity):
+def brute(rows, capacity, copies=None):
     """The pieces by one pass over the sorted documents."""
     matrix, x, n = cp.gaussian(), [], []
     for _, text in rows:
@@ -35,7 +35,7 @@ def brute(rows, capacity):
         assert b[0] == len(words)
     x = np.array(x)
     key = cp.hilbert(cp.cells_of(x, x.mean(0), x.std(0), cp.BITS), cp.BITS)
-    order = sorted(range(len(rows)), key=lambda i: (key[i], rows[i][0] is not None, rows[i][0] or 0, n[i]))
+    order = sorted(range(len(rows)), key=lambda i: (copies[i] if copies else 0, key[i], rows[i][0] is not None, rows[i][0] or 0, n[i]))
     at, out = 0, []
     for i in order:
         done = 0

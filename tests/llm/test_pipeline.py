@@ -6,12 +6,15 @@ from hashlib import md5
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_near_dedup import brute as near_brute
+from test_near_dedup import shingles
 from test_packing_warc import brute as pack_brute
 from test_packing_warc import check_cover
 
 import corpus_pipeline
-from quillframe.llm import curve_packing, mixing, rule_ensemble
+from quillframe import cluster
+from quillframe.llm import curve_packing, mixing, near_dedup, rule_ensemble
 from quillframe.llm.common import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,11 +59,23 @@ def test_exact_stage(stages):
 
 def test_near_stage(stages):
     _, before, after = stages[2]
-    _, root = near_brute([(r.doc_id, r.text) for r in before])
-    first = {}
-    for r, g in zip(before, root):
-        first[g] = min(first.get(g, r.doc_id), r.doc_id)
-    assert sorted(r.doc_id for r in after.collect()) == sorted(first.values())
+    pairs, ids, root = near_brute([(r.doc_id, r.text) for r in before]), [r.doc_id for r in before], list(range(len(before)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, ratio in pairs:
+        if ratio <= near_dedup.COPY_RATIO:
+            root[find(a)] = find(b)
+    sizes, first = {}, {}
+    for i, r in enumerate(before):
+        g = find(i)
+        first[g], sizes[g] = min(first.get(g, r.doc_id), r.doc_id), max(sizes.get(g, 0), len(shingles(r.text)))
+    inside = {find(a) for a, b, _ in pairs if sizes[find(a)] < sizes[find(b)]}
+    assert sorted(r.doc_id for r in after.collect()) == sorted(d for g, d in first.items() if g not in inside)
+    assert len(ids) > len(first)
 
 
 def test_mixing_stage(stages):
@@ -87,8 +102,21 @@ def test_mixing_stage(stages):
 def test_packing_stage(stages):
     _, before, after = stages[4]
     got = [tuple(r) for r in after.collect()]
-    want = pack_brute([(r.doc_id, r.text) for r in before], curve_packing.CAPACITY)
+    copy = collections.Counter()
+    rows = []
+    for r in sorted(before, key=lambda r: r.doc_id):
+        rows.append((r.doc_id, r.text, copy[r.doc_id]))
+        copy[r.doc_id] += 1
+    want = pack_brute([r[:2] for r in rows], curve_packing.CAPACITY, [r[2] for r in rows])
+    want = [(p, at, d, a, b) for p, at, d, a, b in want]
+    got, numbers = [(p, at, d, a, b) for p, at, d, _, a, b in got], [(p, d, c) for p, _, d, c, _, _ in got]
     assert len(set(got) & set(want)) > 0.9 * len(set(want))
+    assert sum(copy.values()) > len(copy)
+    assert collections.Counter(d for d, c in {(d, c) for _, d, c in numbers}) == copy
+    tokens = sum(b - a for *_, a, b in got)
+    if tokens > 4 * curve_packing.CAPACITY:  # a document and its repeat don't meet in a pack
+        met = collections.Counter((p, d) for p, d, c in set(numbers))
+        assert sum(n > 1 for n in met.values()) <= 1
     words = collections.Counter()
     for r in before:
         words[r.doc_id] += len(r.text.split())
@@ -106,6 +134,26 @@ def test_run_gives_the_last_stage(spark, small, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) == sorted(map(tuple, stages[-1][2].collect()))
 
 
+def test_run_with_awkward_rows_and_without_rows(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("grp", F.lit(1)).withColumn("Key", F.lit("k")).withColumn("h", F.lit(2.0))
+    extra = [(None, None, None, None, None), (None, "", None, None, 0), (1, None, "en", "web", None), (10**6, "word " * 200_000, "en", None, 1), (10**6, "word " * 200_000, "en", None, 1), (10**6 + 1, "", "de", "x", 0)]
+    rows = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as grp", "'k' as Key", "cast(2.0 as double) as h")
+    docs.unionByName(rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    before = len(cluster._MADE)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(cluster._MADE) <= before + 1
+    spans = collections.defaultdict(list)
+    for r in out:
+        spans[r.pack_id].append((r.pack_start, r.pack_start + r.doc_end - r.doc_start))
+    for p, x in spans.items():
+        x = sorted(x)
+        assert x[0][0] == 0 and all(a[1] == b[0] for a, b in zip(x, x[1:])) and (x[-1][1] == curve_packing.CAPACITY or p == max(spans))
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 

@@ -62,12 +62,100 @@ def test_statistics_of_a_small_text(spark):
     assert b.chars == 0 and b.words == 1
 
 
-def test_hashed_scores_equal_plain_sums():
-    model = hashed_classifier.fit(["good words here now"] * 30 + ["BAD!! BAD!! ###"] * 30, np.r_[np.ones(30), np.zeros(30)], bits=12)
-    texts = ["good words here", "", "a", "BAD!! é ###", "good words here"]
-    raw, at = hashed_classifier.textvec.buffers(hashed_classifier.pa.array(texts))
-    whole = model.scores(raw, at)
-    alone = [model.scores(*hashed_classifier.textvec.buffers(hashed_classifier.pa.array([t])))[0] for t in texts]
-    np.testing.assert_allclose(whole, alone, rtol=1e-6, atol=1e-9)
-    p = model.probability(whole)
-    assert p[0] > 0.5 > p[3] and whole[1] == model.bias
+M64 = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_ngrams(text, bits):
+    """(buckets of words and pairs, buckets of 3 to 5 bytes), one n-gram after the other in whole numbers."""
+    data, mask = text.encode(), (1 << bits) - 1
+    words, last = [], None
+    for w in data.split():
+        words.append(0x2545F4914F6CDD1D if w == last else mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) & M64))
+        last = w
+    pairs = [mix((a * 0xD6E8FEB86659FD93 + b) & M64) for a, b in zip(words, words[1:])]
+    chars = []
+    for n in (3, 4, 5):
+        for i in range(len(data) - n + 1):
+            run = 0
+            for b in data[i : i + n]:
+                run = (run * 0x01000193 + b + 1) & 0xFFFFFFFF
+            run = (run * 0x9E3779B1 + n) & 0xFFFFFFFF
+            chars.append((run ^ run >> 15) & mask)
+    return [(w >> 20) & mask for w in words + pairs], chars
+
+
+TEXTS = ["good words here", "", "a", "BAD!! é ###", "good words here", "x x x y\n y  z", " ", "ab"]
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    return hashed_classifier.fit_texts(["good words here now"] * 30 + ["BAD!! BAD!! ###"] * 30, np.r_[np.ones(30), np.zeros(30)], bits=12)
+
+
+@pytest.mark.parametrize("block", [3, 7, 1 << 20])
+def test_hashed_scores_equal_plain_sums(small_model, monkeypatch, block):
+    monkeypatch.setattr(hashed_classifier._char_hashes, "__defaults__", (block,))
+    rng = np.random.default_rng(3)
+    model = hashed_classifier.Model(rng.normal(size=1 << 12).astype(np.float32), rng.normal(size=1 << 12).astype(np.float32), 0.25, 1.0, 0.0)
+    got = model.scores(*hashed_classifier.textvec.buffers(hashed_classifier.pa.array(TEXTS)))
+    for text, score in zip(TEXTS, got):
+        words, chars = plain_ngrams(text, 12)
+        want = 0.25 + sum(sum(float(t[b]) for b in x) / max(1, len(x)) for t, x in ((model.word, words), (model.char, chars)))
+        assert score == pytest.approx(want, rel=1e-6, abs=1e-9)
+        f, v = hashed_classifier.features_of(np.frombuffer(text.encode(), np.uint8), 1 << 12)
+        want = {}
+        for half, x in enumerate((words, chars)):
+            for b in x:
+                want[b + (half << 12)] = want.get(b + (half << 12), 0) + 1 / len(x)
+        assert dict(zip(f.tolist(), v.tolist())) == pytest.approx(want, rel=1e-5)
+    p = small_model.probability(small_model.scores(*hashed_classifier.textvec.buffers(hashed_classifier.pa.array(TEXTS))))
+    assert p[0] > 0.5 > p[3]
+
+
+def test_calibration(spark, tables):
+    """Platt scaling is where its loss is least, and what it says on unseen rows is about what comes true."""
+    rng = np.random.default_rng(1)
+    score = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(2.5 * score - 0.7)))).astype(float)
+    slope, shift = hashed_classifier._platt(score, y)
+    assert slope == pytest.approx(2.5, abs=0.3) and shift == pytest.approx(-0.7, abs=0.2)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * score + b)))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    assert all(loss(slope, shift) <= loss(slope + i, shift + j) + 1e-6 for i in (-0.05, 0, 0.05) for j in (-0.05, 0, 0.05))
+    docs, seen, unseen = tables
+    out = hashed_classifier.score(docs.join(unseen, "doc_id"), hashed_classifier.train(docs, seen), "p").select("quality", "p").toPandas()
+    assert abs(out.p.mean() - out.quality.mean()) < 0.06 and np.mean((out.p - out.quality) ** 2) < 0.06
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(5)
+    r = (rng.random((400, 30)) < 0.3).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 3 * r[:, 1] + 0.2)))).astype(float)
+    weight = rng.random(400) + 0.5
+    for penalty in (0.03, 0.01, 0.003):
+        w, bias = rule_ensemble.lasso(r, y, weight, penalty, (np.zeros(30), 0.0), steps=5000)
+        g = r.T @ (weight / weight.sum() * (1 / (1 + np.exp(-(r @ w + bias))) - y))
+        on = np.abs(w) > 1e-9
+        np.testing.assert_allclose(g[on], -penalty * np.sign(w[on]), atol=1e-5)
+        assert (np.abs(g[~on]) <= penalty + 1e-5).all() and 0 < on.sum() < 30
+
+
+def test_boosted_paths_are_conjunctions_over_statistics():
+    rng = np.random.default_rng(6)
+    x = rng.random((500, 3))
+    y = ((x[:, 0] > 0.6) & (x[:, 2] <= 0.4)).astype(float)
+    rules = rule_ensemble.tree_rules(x, y, np.ones(500))
+    assert all(0 < len(r) <= 2 * 3 and all(0 <= j < 3 for j, _, _ in r) for r in rules)
+    hit = rule_ensemble.applies(rules, x)
+    assert max(np.mean(hit[:, k] == y) for k in range(len(rules))) > 0.97
+    plain = [[all((x[i, j] <= c) == low for j, low, c in r) for r in rules] for i in range(50)]
+    assert (hit[:50] == np.array(plain, float)).all()
