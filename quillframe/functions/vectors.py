@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,15 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once a row: as a variable it isn't computed anew for every element of an inner array."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def rms_unit(a: Column, epsilon: float = 1e-6) -> Column:
     """x / sqrt(mean(x * x) + epsilon)."""
     norm = F.sqrt(total(F.transform(a, lambda x: x * x)) / F.size(a) + F.lit(epsilon))
-    return F.transform(a, lambda x: x / norm)
+    return bind(norm, lambda n: F.transform(a, lambda x: x / n))
 
 
 def zero_centred_rms(a: Column, scale: Column, epsilon: float = 1e-6) -> Column:
@@ -32,14 +37,12 @@ def zero_centred_rms(a: Column, scale: Column, epsilon: float = 1e-6) -> Column:
 
 def unit(a: Column, epsilon: float = 1e-12) -> Column:
     """Length 1 (up to epsilon under the root)."""
-    norm = F.sqrt(dot(a, a) + F.lit(epsilon))
-    return F.transform(a, lambda x: x / norm)
+    return bind(F.sqrt(dot(a, a) + F.lit(epsilon)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    powers = bind(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return bind(powers, lambda e: bind(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def entropy(p: Column) -> Column:
@@ -71,7 +74,13 @@ def absmax_quant(a: Column, bits: int) -> Column:
     top = float((1 << (bits - 1)) - 1)
     peak = F.array_max(F.transform(a, lambda x: F.abs(x)))
     scale = F.when(peak > 0, peak / top).otherwise(1.0)
-    return F.transform(a, lambda x: F.least(F.lit(top), F.greatest(F.lit(-top - 1), F.rint(x / scale))) * scale)
+    return bind(scale, lambda s: F.transform(a, lambda x: F.least(F.lit(top), F.greatest(F.lit(-top - 1), F.rint(x / s))) * s))
+
+
+def absmax_groups(a: Column, bits: int, group: int) -> Column:
+    """:func:`absmax_quant` of every run of group elements, the last one being what remains; 8 bits over the whole for activations."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(group))
+    return F.flatten(F.transform(starts, lambda i: absmax_quant(F.slice(a, i, F.lit(group)), bits)))
 
 
 def nearest_code(x: Column, codebook: list[float]) -> Column:

@@ -9,20 +9,10 @@ from quillframe.functions import schema as s
 from quillframe.functions import vectors as v
 from quillframe.operators import agent as a
 from quillframe.operators import training as t
-from quillframe.plans.dataset import table
+from quillframe.plans.dataset import registered, table
 from quillframe.plans.kernels import X, vectors
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registered()
 
 
 PART = {"properties": {"p_size": {"type": "integer", "minimum": 5, "exclusiveMaximum": 45, "multipleOf": 3}, "p_name": {"type": "string", "minLength": 8, "maxLength": 30, "pattern": "[a-m]"}, "p_brand": {"type": "string", "enum": ["Brand#1", "Brand#2", "Brand#3"]}, "p_retailprice": {"type": "number", "exclusiveMinimum": 901, "maximum": 1800}}, "required": ["p_name"]}
@@ -64,14 +54,14 @@ def topk_retrieval(spark, sf):
 
 
 @query("""
-WITH o AS (SELECT doc_id, text FROM documents WHERE doc_id % 13 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0)
-SELECT coalesce(o.doc_id, n.doc_id) AS tool, CASE WHEN n.doc_id IS NULL THEN 'drop' WHEN o.text = n.text THEN 'keep' ELSE 'embed' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), o AS (SELECT doc_id AS k, CAST(q AS VARCHAR) AS p FROM l), n AS (SELECT item_id AS k, '1' AS p FROM benchmark UNION ALL SELECT doc_id + 1000000, lang FROM documents)
+SELECT coalesce(o.k, n.k) AS tool, CASE WHEN n.k IS NULL THEN 'drop' WHEN o.p = n.p THEN 'keep' ELSE 'embed' END AS action FROM o FULL JOIN n ON o.k = n.k""")
 def index_refresh(spark, sf):
-    """Between an index and a changed catalogue: what to keep, embed and drop. The fixture removes and changes rows on purpose."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    old = d.filter("doc_id % 13 != 0").select(F.col("doc_id").alias("tool"), a.fingerprint(F.col("text")).alias("print"))
-    new = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return a.refresh(old, d.filter("doc_id % 17 != 0").select(F.col("doc_id").alias("tool"), a.fingerprint(new).alias("print")))
+    """Between an index (of the labels) and another catalogue (of benchmark items and documents): what to keep, embed and drop."""
+    old = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("tool")).agg(F.max("quality").cast("string").alias("p"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("tool"), F.lit("1").alias("p"))
+    new = items.unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1000000).alias("tool"), F.col("lang").alias("p")))
+    return a.refresh(old.select("tool", a.fingerprint(F.col("p")).alias("print")), new.select("tool", a.fingerprint(F.col("p")).alias("print")))
 
 
 @query(f"""WITH a AS ({X}), e AS (SELECT vec_id, x, list_transform(x, lambda f: exp(4 * (f - list_max(x)))) AS e FROM a), l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id)

@@ -11,19 +11,9 @@ from quillframe.operators import quantization as q
 from quillframe.operators import sequence as s
 from quillframe.operators import training as t
 from quillframe.operators.dataset import code_points
-from quillframe.plans.dataset import table
+from quillframe.plans.dataset import registered, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registered()
 
 
 def vectors(spark, sf):
@@ -128,6 +118,16 @@ def absmax_quant(spark, sf):
     return vectors(spark, sf).select("vec_id", checksum(v.absmax_quant(F.col("x"), 4)).alias("s"))
 
 
+@query(f"""WITH a AS ({X}), m AS (SELECT vec_id, list_transform(range(2), lambda g: x[g * 32 + 1:g * 32 + 32]) AS g, list_max(list_transform(x, lambda e: abs(e))) / 127 AS z, x FROM a),
+y AS (SELECT vec_id, flatten(list_transform(g, lambda q: list_transform(q, lambda e: least(7.0, greatest(-8.0, round_even(e / (list_max(list_transform(q, lambda f: abs(f))) / 7), 0))) * (list_max(list_transform(q, lambda f: abs(f))) / 7)))) AS y,
+  list_transform(x, lambda e: least(127.0, greatest(-128.0, round_even(e / z, 0))) * z) AS w FROM m)
+SELECT vec_id, round({CHECK}, 6) AS grouped, round({CHECK.replace('(y,', '(w,')}, 6) AS activation FROM y""")
+def group_quant(spark, sf):
+    """Weights on the grid of each run of 32, activations in 8 bits on that of the whole vector."""
+    x = vectors(spark, sf)
+    return x.select("vec_id", checksum(v.absmax_groups(F.col("x"), 4, 32)).alias("grouped"), checksum(v.absmax_quant(F.col("x"), 8)).alias("activation"))
+
+
 BOOK = [-0.18875, -0.056625, 0.056625, 0.18875]
 CODES = "list_transform(x, lambda e: CAST((e > -0.1226875) AS INTEGER) + CAST((e > 0.0) AS INTEGER) + CAST((e > 0.1226875) AS INTEGER))"
 
@@ -178,14 +178,14 @@ def element_average(spark, sf):
 
 
 @query(f"""WITH a AS ({X}), l AS (SELECT label, j, avg(v) AS b FROM (SELECT label, unnest(x) AS v, unnest(range(64)) AS j FROM a) GROUP BY label, j),
-f AS (SELECT vec_id, unnest(x) AS w, unnest(range(64)) AS j, x FROM a)
-SELECT vec_id, CAST(f.j AS INTEGER) AS j, round(any_value(w) + 2.0 * sum(x[l.label + 1] * b), 6) AS merged FROM f JOIN l ON f.j = l.j AND l.label < 4 GROUP BY vec_id, f.j""")
+f AS (SELECT vec_id, unnest(x) AS w, unnest(range(64)) AS j FROM a), p AS (SELECT vec_id, j % 10 AS k, sum(w) AS a FROM f GROUP BY vec_id, k)
+SELECT f.vec_id, CAST(f.j AS INTEGER) AS j, round(any_value(w) + 2.0 * sum(p.a * b), 6) AS merged FROM f JOIN p ON f.vec_id = p.vec_id JOIN l ON f.j = l.j AND l.label = p.k GROUP BY f.vec_id, f.j""")
 def matmul_merge(spark, sf):
-    """W + scale * A @ B in long form: A from the first four axes, B from four label means."""
+    """W + scale * A @ B in long form: A sums the axes by their last digit, B holds the means of all ten labels."""
     x = vectors(spark, sf)
     w = x.select(F.col("vec_id").alias("i"), F.posexplode("x").alias("j", "w"))
-    a = x.select(F.col("vec_id").alias("i"), F.posexplode(F.slice("x", 1, 4)).alias("k", "a"))
-    b = t.element_mean(x.filter("label < 4"), "label", "x").select(F.col("label").alias("k"), "j", F.col("mean").alias("b"))
+    a = w.groupBy("i", (F.col("j") % 10).alias("k")).agg(F.sum("w").alias("a"))
+    b = t.element_mean(x, "label", "x").select(F.col("label").alias("k"), "j", F.col("mean").alias("b"))
     return t.merge_low_rank(w, a, maybe_broadcast(settle(b, "low_rank"), 32), 2.0).select(F.col("i").alias("vec_id"), "j", F.round("w", 6).alias("merged"))
 
 

@@ -17,6 +17,12 @@ def dedup_stream(stream: DataFrame, key: Column, event_time: str, delay: str | N
     return out.drop("_key")
 
 
+def first_wins(stream: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """(keys, keep, n): the first row of each key by an order, whichever way rows arrive; for the update mode."""
+    first = F.min_by(F.struct(*keep), F.struct(*order)).alias("first")
+    return stream.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("n")).select(*keys, *[F.col(f"first.{c}").alias(c) for c in keep], "n")
+
+
 def sessions(stream: DataFrame, by: str, event_time: str, gap: str, delay: str) -> DataFrame:
     """(by, begin, end, n) of sessions that end at a gap; late rows beyond the delay are left out. A gap of exactly that length joins."""
     w = F.session_window(event_time, gap)
