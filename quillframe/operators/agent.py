@@ -126,14 +126,15 @@ class Agent:
     def run(self, df: DataFrame, text: str) -> DataFrame:
         """df with results (of all calls, in order), steps and type: call where the last proposal still was one, else respond.
 
-        Each step is a projection over the row, so the whole loop is one stage without any exchange.
+        Each step is a projection over the row, so the whole loop is one stage without any exchange; a generator of one row
+        between steps keeps the optimizer from writing every step into all that follow it.
         """
         state = df.withColumn("history", F.array(F.col(text))).withColumn("results", F.array().cast("array<string>")).withColumn("steps", F.lit(0))
         for _ in range(self.max_steps):
             state = self.propose(state)
             more = F.col("call").isNotNull() & (F.size("results") == F.col("steps"))
             result = self.execute(F.col("call"))
-            state = state.withColumn("_r", F.when(more, result))
+            state = state.withColumn("_q", F.when(more, result)).withColumn("_r", F.explode(F.array("_q"))).drop("_q")
             state = state.withColumn("results", F.when(F.col("_r").isNotNull(), F.array_append("results", F.col("_r"))).otherwise(F.col("results")))
             state = state.withColumn("history", F.when(F.col("_r").isNotNull(), F.array_append("history", F.col("_r"))).otherwise(F.col("history")))
             state = state.withColumn("steps", F.size("results")).drop("_r", "call")

@@ -6,12 +6,15 @@ call with an empty state, so decoding step by step and scoring at once agree by
 
 from __future__ import annotations
 
+import io
+import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -198,34 +201,43 @@ class Network:
     def confidence(self, tokens: np.ndarray) -> float:
         return float(sigmoid(self.pooled(tokens, "confidence") @ self.p["confidence.proj"] + self.p["confidence.bias"])[0])
 
-    def generate(self, prompt: list[int], most: int, temperature: float = 0.0, seed: int = 0) -> dict:
-        """Tokens until the end token, the length or the longest sequence, with the signals of each step."""
-        rng, state, out, probs, entropies = np.random.default_rng(seed), State(), [], [], []
+    def stream(self, prompt: list[int], most: int, temperature: float = 0.0, seed: int = 0) -> Iterator[tuple[int, float, float]]:
+        """(token, probability, entropy) one after the other, until the end token, the length or the longest sequence."""
+        rng, state, count = np.random.default_rng(seed), State(), 0
         prompt = ([BOS] + list(prompt))[: self.c.longest - 1]
         for at in range(0, len(prompt), STEP):  # scores of a part against all before it, never of a whole long prompt
             step = self.advance(state, np.array(prompt[at : at + STEP]))[0][-1]
-        while len(out) < most and len(state.tokens) < self.c.longest:
+        while count < most and len(state.tokens) < self.c.longest:
             p = softmax(step)
             token = int(p.argmax()) if temperature <= 0 else int((step / temperature + rng.gumbel(size=len(step))).argmax())
             if token == EOS:
                 break
-            out.append(token)
-            probs.append(float(p[token] if temperature > 0 else p.max()))
-            entropies.append(float(-(p * np.log(np.maximum(p, 1e-300))).sum()))
-            step = self.advance(state, np.array([token]))[0][-1]
+            yield token, float(p[token] if temperature > 0 else p.max()), float(-(p * np.log(np.maximum(p, 1e-300))).sum())
+            count += 1
+            if count < most:
+                step = self.advance(state, np.array([token]))[0][-1]
+
+    def generate(self, prompt: list[int], most: int, temperature: float = 0.0, seed: int = 0) -> dict:
+        """The tokens of :meth:`stream`, the logarithms of their probabilities, and the signals of the whole."""
+        steps = list(self.stream(prompt, most, temperature, seed))
+        out, probs, entropies = ([s[i] for s in steps] for i in range(3))
         logs = float(np.log(np.clip(probs, 1e-12, 1)).mean()) if probs else -math.inf
-        return {"tokens": out, "min_prob": min(probs, default=0.0), "mean_logprob": logs, "max_entropy": max(entropies, default=0.0)}
+        return {"tokens": out, "logprobs": [math.log(max(x, 1e-12)) for x in probs], "min_prob": min(probs, default=0.0), "mean_logprob": logs, "max_entropy": max(entropies, default=0.0)}
 
 
 def generate(df: DataFrame, prompt: str, network: Network, most: int = 96, temperature: float = 0.0, seed: int = 0) -> DataFrame:
-    """df with tokens, min_prob, mean_logprob and max_entropy of what follows a column of prompt ids; parameters are broadcast."""
+    """df with tokens, logprobs, min_prob, mean_logprob and max_entropy of what follows a column of prompt ids; parameters are broadcast.
+
+    Prompts of a batch may be of any lengths: each is its own sequence, so nothing is padded. A row's draws depend on seed alone.
+    """
     shared = df.sparkSession.sparkContext.broadcast(network)
-    extra = [T.StructField("tokens", T.ArrayType(T.IntegerType()))] + [T.StructField(n, T.DoubleType()) for n in ("min_prob", "mean_logprob", "max_entropy")]
+    extra = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("logprobs", T.ArrayType(T.DoubleType()))] + [T.StructField(n, T.DoubleType()) for n in ("min_prob", "mean_logprob", "max_entropy")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.generate(x or [], most, temperature, seed) for x in batch.column(prompt).to_pylist()]
-            new = [pa.array([f["tokens"] for f in found], pa.list_(pa.int32()))] + [pa.array([f[e.name] for f in found], pa.float64()) for e in extra[1:]]
+            new = [pa.array([f["tokens"] for f in found], pa.list_(pa.int32())), pa.array([f["logprobs"] for f in found], pa.list_(pa.float64()))]
+            new += [pa.array([f[e.name] for f in found], pa.float64()) for e in extra[2:]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[e.name for e in extra]])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
@@ -256,3 +268,88 @@ def low_rank(params: dict[str, np.ndarray], names: list[str], rank: int, seed: i
 
 def merge(params: dict[str, np.ndarray], adapter: dict[str, tuple[np.ndarray, np.ndarray]], scale: float) -> dict[str, np.ndarray]:
     return params | {n: params[n] + scale * (a @ b) for n, (a, b) in adapter.items()}
+
+
+FORMAT = 1
+
+
+def _write(uri: str, head: dict, arrays: dict[str, np.ndarray]) -> None:
+    room = io.BytesIO()
+    np.savez(room, head=np.frombuffer(json.dumps(head).encode(), np.uint8), **arrays)
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(path) as out:
+        out.write(room.getvalue())
+
+
+def _read(uri: str, kind: str) -> tuple[dict, dict[str, np.ndarray]]:
+    """(head, arrays); a file of another kind or format version is refused by name."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as stream:
+        raw = stream.read()
+    try:
+        with np.load(io.BytesIO(raw), allow_pickle=False) as found:
+            head = json.loads(found["head"].tobytes())
+            arrays = {k: found[k] for k in found.files if k != "head"}
+    except (ValueError, KeyError, OSError) as problem:
+        raise ValueError(f"{uri} is no {kind}") from problem
+    if head.get("kind") != kind or head.get("format_version") != FORMAT:
+        raise ValueError(f"{uri} is no {kind} of format version {FORMAT} but {head.get('kind')} of {head.get('format_version')!r}")
+    return head, arrays
+
+
+def write_checkpoint(uri: str, config: Config, params: dict[str, np.ndarray], step: int | None = None, run: dict | None = None) -> None:
+    """One file of all parameters with its configuration, step and what else is known of the run; nothing in it is executable."""
+    _write(uri, {"kind": "checkpoint", "format_version": FORMAT, "config": asdict(config), "step": step, "run": run or {}}, params)
+
+
+def read_checkpoint(uri: str) -> tuple[dict[str, np.ndarray], Config, dict]:
+    """(parameters, configuration, head) of a checkpoint, whose format version must be this one's."""
+    head, arrays = _read(uri, "checkpoint")
+    config = {k: tuple(x) if isinstance(x, list) else x for k, x in head["config"].items()}
+    return arrays, Config.of(**config), head
+
+
+def average_files(uris: list[str], out: str) -> list[int | None]:
+    """Average checkpoints into a new one, which notes the steps that went into it; gives those steps."""
+    found = [read_checkpoint(u) for u in uris]
+    steps = [head["step"] for *_, head in found]
+    last = found[-1][2]
+    write_checkpoint(out, found[-1][1], average([p for p, *_ in found]), last["step"], last["run"] | {"averaged_from": steps})
+    return steps
+
+
+def write_adapter(uri: str, adapter: dict[str, tuple[np.ndarray, np.ndarray]], scale: float, rank: int, base: str) -> None:
+    arrays = {f"{n}/{k}": x for n, pair in adapter.items() for k, x in zip("AB", pair)}
+    _write(uri, {"kind": "adapter", "format_version": FORMAT, "scale": scale, "rank": rank, "base": base}, arrays)
+
+
+def read_adapter(uri: str) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict]:
+    """(adapter, head with scale, rank and base)."""
+    head, arrays = _read(uri, "adapter")
+    return {k[:-2]: (x, arrays[k[:-2] + "/B"]) for k, x in arrays.items() if k.endswith("/A")}, head
+
+
+#: Parts of a layer, a memory and a head, in the order in which archives hold them.
+LAYER_PARTS = ("norm_in", "q", "k", "v", "norm_q", "norm_k", "gate", "out", "norm_post", "attn_gate", "norm_hada", "d1", "d2", "d3", "phi_pre", "phi_post", "phi_res", "b_res")
+MEMORY_PARTS, HEAD_PARTS = ("tables", "key", "value", "taps"), ("probes", "proj", "bias")
+
+
+def place_of(name: str) -> tuple[int, int, int, str]:
+    """Where a tensor stands in an archive: embedding, layers, memories, the last norm, heads, then what isn't known."""
+    owner, _, part = name.rpartition(".")
+    at = lambda parts: parts.index(part) if part in parts else len(parts)
+    if name == "embedding":
+        return 0, 0, 0, name
+    if owner.startswith("layer") and owner[5:].isdigit():
+        return 1, int(owner[5:]), at(LAYER_PARTS), name
+    if owner.startswith("memory") and owner[6:].isdigit():
+        return 2, int(owner[6:]), at(MEMORY_PARTS), name
+    if name == "final_norm":
+        return 3, 0, 0, name
+    if owner in ("contrast", "confidence"):
+        return 4, ("contrast", "confidence").index(owner), at(HEAD_PARTS), name
+    return 5, 0, 0, name
+
+
+def ordered(params: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
+    return sorted(params.items(), key=lambda x: place_of(x[0]))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +129,54 @@ def noise_scale(bits: float, group: int = 128) -> float:
     lo, hi = int(np.floor(b)), int(np.ceil(b))
     a, z = np.log(relative_distortion(lo, group)), np.log(relative_distortion(hi, group))
     return float(np.exp(0.5 * (a + (z - a) * (b - lo))))
+
+
+def leaf_path(keys: Column) -> Column:
+    """The path of a leaf as text: its keys joined by slashes."""
+    return F.array_join(keys, "/")
+
+
+def kv_quant(x: np.ndarray, bits: float, group: int = 64) -> np.ndarray:
+    """What cached keys or values of any shape become when their last axis is stored in groups; 0 bits leave them as they are."""
+    if not bits:
+        return x
+    flat = x.reshape(-1, x.shape[-1])
+    return dequantize(*quantize(flat, bits, group), x.shape[-1], bits, group).reshape(x.shape)
+
+
+def straight_through(x: Column, quantized: Column, on: Column) -> Column:
+    """The quantized value where on is true: forward, x + (quantized - x) is just that, and nothing here goes backward."""
+    return F.when(on, quantized).otherwise(x)
+
+
+def add_noise(w: np.ndarray, scale: float, group: int = 128, seed: int = 0) -> np.ndarray:
+    """w with Gaussian noise of scale times the root mean square of each group of the last axis, as quantizing would add."""
+    width = w.shape[-1]
+    padded = np.pad(w, [(0, 0)] * (w.ndim - 1) + [(0, -width % group)])
+    groups = padded.reshape(*padded.shape[:-1], -1, group)
+    sigma = np.sqrt((groups**2).mean(-1, keepdims=True)) * scale
+    return (groups + sigma * np.random.default_rng(seed).standard_normal(groups.shape)).reshape(padded.shape)[..., :width]
+
+
+def noisy(tensors: dict[str, np.ndarray], scale: float, group: int = 128, seed: int = 0, prefix: str = "") -> dict[str, np.ndarray]:
+    """Matrices whose names begin so, each with noise of its own; everything else as it is."""
+    return {n: add_noise(x, scale, group, seed + i) if x.ndim >= 2 and n.startswith(prefix) else x for i, (n, x) in enumerate(sorted(tensors.items()))}
+
+
+def quantize_rows(df: DataFrame, name: str, row: str, widths: dict[str, float], default: float, group: int = 128) -> DataFrame:
+    """A table of matrix rows (a tensor's name and an array) with each row as its width leaves it: a whole tree in one pass, no shuffle."""
+    at = df.columns.index(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[float]] = []
+            for n, x in zip(batch.column(name).to_pylist(), batch.column(row)):
+                fits = [k for k in widths if n.startswith(k)]
+                bits = widths[max(fits, key=len)] if fits else default
+                w = x.values.to_numpy(zero_copy_only=False)[None].astype(np.float64)
+                rows.append(dequantize(*quantize(w, bits, group), w.shape[1], bits, group)[0].tolist())
+            columns = list(batch.columns)
+            columns[at] = pa.array(rows, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.withColumn(row, F.col(row).cast("array<double>")).mapInArrow(run, df.withColumn(row, F.col(row).cast("array<double>")).schema)

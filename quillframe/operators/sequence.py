@@ -28,6 +28,17 @@ def visible_sums(by: list[str], position: str, sink: str, window: int, values: l
     return [(F.sum(x).over(recent(by, position, window)) + F.coalesce(F.sum(F.when(F.col(sink), x)).over(older), F.lit(0))).cast("bigint") for x in values]
 
 
+def mask_diagonal(mask: Column, offset: int) -> Column:
+    """Whether each position sees the one offset places before it, from the rows of a square mask; 0 where there is none."""
+    zero = F.lit(0)
+    return F.transform(mask, lambda row, i: F.when(i >= offset, F.get(row, i - offset)).otherwise(zero))
+
+
+def padding_mask(tokens: Column, pad: int = 0) -> Column:
+    """1 for each token that isn't padding."""
+    return F.transform(tokens, lambda x: (x != pad).cast("int"))
+
+
 def document_prefix(sink: str, by: list[str]) -> Column:
     """How many sinks a sequence has."""
     return F.sum(F.col(sink).cast("int")).over(W.partitionBy(*by))

@@ -16,6 +16,14 @@ def warmup_cosine(step: Column, total: int, peak: float) -> Column:
     return F.when(step < warm, rise).otherwise(fall)
 
 
+def warmup_rate(step: int, total: int, peak: float) -> float:
+    """:func:`warmup_cosine` of one step, as a number."""
+    warm = min(max(1, total // 20), total - 1)
+    if step < warm:
+        return peak * step / max(warm, 1)
+    return peak * 0.5 * (1 + math.cos(math.pi * (step - warm) / max(1, total - warm)))
+
+
 def masked_mean(value: str, mask: str) -> Column:
     """sum(value * mask) / max(sum(mask), 1), nulls counting nothing."""
     return F.sum(F.coalesce(F.col(value) * F.col(mask), F.lit(0.0))) / F.greatest(F.sum(F.coalesce(F.col(mask), F.lit(0))), F.lit(1))

@@ -8,6 +8,7 @@ from quillframe.cluster import settle
 from quillframe.functions import schema as s
 from quillframe.functions import vectors as v
 from quillframe.operators import agent as a
+from quillframe.operators import generation as g
 from quillframe.operators import training as t
 from quillframe.plans.dataset import registered, table
 from quillframe.plans.kernels import X, vectors
@@ -111,3 +112,45 @@ def bounded_loop(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
     rows = agent.run(c.select("conv_id", F.col("t.role").alias("plan"), F.lit("go").alias("q")), "q")
     return rows.select("conv_id", "steps", F.concat_ws("", F.transform("results", lambda x: F.concat(x, F.lit(";")))).alias("results"), "type")
+
+
+def _reply(request: int, prompt: str) -> str:
+    """A deterministic stand-in for a model: 25 numbered examples in noisy text, every tenth request failing, numbers repeating after 700."""
+    if request % 10 == 9:
+        raise RuntimeError("no reply")
+    items = [f'{{"query": " Item {(request * 25 + k) % 700}", "answers": [{{"name": "f", "arguments": {{"n": {(request * 25 + k) % 700 % 7}}}}}]}}' for k in range(25)]
+    return f"Here you are: [{', '.join(items)}] - done"
+
+
+@query("""WITH r AS (SELECT unnest(range(120)) AS request), k AS (SELECT request, unnest(range(25)) AS pos FROM r WHERE request % 10 <> 9),
+x AS (SELECT request, pos, (request * 25 + pos) % 700 AS n FROM k), f AS (SELECT n, min((request, pos)) AS first FROM x GROUP BY n)
+SELECT CAST(first[1] AS BIGINT) AS request, CAST(first[2] AS INTEGER) AS pos, ' Item ' || n AS query, '[{"arguments":{"n":' || n % 7 || '},"name":"f"}]' AS answers
+FROM f ORDER BY first LIMIT 600""")
+def overgenerate(spark, sf):
+    """600 distinct examples from a generator that repeats itself and fails now and then."""
+    return g.generate_dataset(spark, _reply, [{"name": "f"}], 600, width=16).select("request", "pos", "query", "answers")
+
+
+@query("""WITH r AS (SELECT unnest(range(36)) AS request), k AS (SELECT request, unnest(range(25)) AS pos FROM r WHERE request % 10 <> 9)
+SELECT CAST(count(DISTINCT (request * 25 + pos) % 700) AS BIGINT) AS n, CAST(35 AS BIGINT) AS last FROM k""".replace("range(36)", "range(117)").replace("CAST(35 AS BIGINT) AS last", "true AS bounded"))
+def overgenerate_bounded(spark, sf):
+    """A target that the generator can't reach: all there is, after a bounded number of requests."""
+    rows = g.generate_dataset(spark, _reply, "[]", 1000, width=16)
+    most = g.requests_for(1000, 25, 16)[1]
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.max("request") < most).alias("bounded"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN '{"error": "system"}' ELSE '{"n": ' || length(text) || '}' END AS result FROM conversations""")
+def python_tools(spark, sf):
+    """A Python tool run on every turn by its JSON arguments; what it raises is its result."""
+
+    def measure(text: str, role: str = "user"):
+        "Length of a text."
+        if role == "system":
+            raise ValueError(role)
+        return {"n": len(text)}
+
+    agent = a.Agent.with_python_tools([measure], lambda df: df)
+    c = table(spark, sf, "conversations")
+    call = F.struct(F.lit("measure").alias("name"), F.to_json(F.struct("text", "role")).alias("argument"))
+    return c.select("conv_id", "turn", agent.execute(call).alias("result"))

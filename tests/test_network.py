@@ -39,7 +39,7 @@ def test_generate_and_heads(spark, model):
     for t in out["tokens"]:
         assert t == int(model.logits(np.array(tokens))[-1].argmax())
         tokens.append(t)
-    assert model.generate([5], 0) == {"tokens": [], "min_prob": 0.0, "mean_logprob": float("-inf"), "max_entropy": 0.0}
+    assert model.generate([5], 0) == {"tokens": [], "logprobs": [], "min_prob": 0.0, "mean_logprob": float("-inf"), "max_entropy": 0.0}
     assert model.generate([5], 5, 1.0, 1) == model.generate([5], 5, 1.0, 1)
     e = model.embed(np.array([5, 6, 0, 0]))
     assert abs(e @ e - 1) < 1e-6 and 0 < model.confidence(np.array([5, 6])) < 1
