@@ -11,7 +11,8 @@ Only training is bounded: at most SAMPLE_CONVERSATIONS conversations, chosen by
 Defined results: null, empty and blank transcripts have no turns and render to an empty text; null roles and texts of
 training turns count as user turns and empty texts; turns sort by number, null first, and ties by role and text; repeated
 rows are each parsed; a "<|" inside a text is broken up, so no text can forge a turn; extra columns are ignored; an
-empty table gives an empty result, and without training turns all states are equally probable.
+empty table gives an empty result, and without training turns all states are equally probable. A very long transcript
+is one sequence, whose path takes 6 bytes of states and one step a line; of equally probable paths the first is taken.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ NAMED = re.compile(r"^\s*([A-Z][\w.-]{0,19}(?: [A-Z][\w.-]{0,19})?):(?:\s+|$)")
 KINDS = ("none", *ROLES, "speaker", "other speaker")
 SIZES = ((len(KINDS),), (5,), (2,), (2,))
 SAMPLE_CONVERSATIONS = 2000
+#: Share of the start that any role may have, since exports also begin in the middle.
+ANY_START = 0.1
 STYLES = 7
 
 
@@ -114,7 +117,9 @@ def fit(labelled: list[tuple[list[tuple[int, int, int, int]], list[int]]], smoot
         if not first:
             step[[k for k in range(n) if STATES[k][0] != STATES[s][0]], s] = 1e-9
             start[s] = 1e-9
-    return Model(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
+    first = np.array([1.0 if f else 1e-9 for _, f in STATES])
+    start = (1 - ANY_START) * start / start.sum() + ANY_START * first / first.sum()
+    return Model(np.log(start), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
 
 
 def transcript_of(turns: list[tuple[str | None, str | None]], style: int) -> tuple[str, list[tuple[str, str]]]:
@@ -151,10 +156,11 @@ def style_of(conv_id: int | None) -> int:
     return (conv_id or 0) * 2654435761 % (1 << 32) * STYLES >> 32
 
 
-def train(rows: DataFrame, conversations: int = SAMPLE_CONVERSATIONS) -> Model:
+def train(rows: DataFrame, conversations: int = SAMPLE_CONVERSATIONS, styles: tuple[int, ...] = tuple(range(STYLES))) -> Model:
+    """The model of a bounded sample, each conversation of it written out in every one of the styles."""
     some = rows.filter("conv_id is not null").select("conv_id").distinct().orderBy(F.md5(F.col("conv_id").cast("string")), "conv_id").limit(conversations)
     chosen = conversations_of(rows.join(F.broadcast(some), "conv_id", "left_semi")).orderBy("conv_id").collect()  # bounded
-    return fit([labelled_lines([(t.role, t.text) for t in c.turns], k) for c in chosen for k in range(STYLES)])
+    return fit([labelled_lines([(t.role, t.text) for t in c.turns], k) for c in chosen for k in styles])
 
 
 def write_out(rows: DataFrame) -> DataFrame:

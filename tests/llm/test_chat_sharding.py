@@ -34,6 +34,31 @@ def test_roles_of_unseen_conversations(spark, conversations):
     assert right / total >= 0.9 and exact / len(got) >= 0.8
 
 
+@pytest.mark.parametrize("unseen", [0, 1, 2, 3, 4])
+def test_roles_in_styles_never_trained_on(spark, conversations, unseen):
+    """Markers of a form that training lacks are read as well; styles without markers (5, 6) have to be trained on."""
+    model = ct.train(conversations.filter("conv_id % 2 = 0"), styles=tuple(k for k in range(ct.STYLES) if k != unseen))
+    right = total = 0
+    for c in ct.conversations_of(conversations.filter("conv_id % 2 = 1")).collect():
+        text, truth = ct.transcript_of([(t.role, t.text) for t in c.turns], unseen)
+        found = model.turns(text)
+        total += len(truth)
+        right += sum(a[0] == b[0] for a, b in zip(truth, found)) if len(truth) == len(found) else 0
+    assert right / total >= 0.9
+
+
+def test_transcripts_written_by_hand(spark, conversations):
+    model = ct.train(conversations)
+    cases = {
+        "> Customer: It broke.\n> Support - Which one?\n> Customer: The blue one.\nIt is old.": ["user", "assistant", "user"],
+        "- **Agent:** Hello, how can I help?\n- **Client:** Where is my order?\n\n- **Agent:** On its way.": ["assistant", "user", "assistant"],
+        "(system) Be brief.\n(human) Why is the sky blue?\n(ai) Scattering.": ["system", "user", "assistant"],
+        "Setup: You are a bot.\n\nQuestion: One?\n\nAnswer: Two.\n\nAnd three.": ["system", "user", "assistant"],
+    }
+    for text, roles in cases.items():
+        assert [r for r, _ in model.turns(text)] == roles, text
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     for _ in range(20):
