@@ -41,8 +41,8 @@ NAMED = re.compile(r"^\s*([A-Z][\w.-]{0,19}(?: [A-Z][\w.-]{0,19})?):(?:\s+|$)")
 KINDS = ("none", *ROLES, "speaker", "other speaker")
 SIZES = ((len(KINDS),), (5,), (2,), (2,))
 SAMPLE_CONVERSATIONS = 2000
-#: Share of the start that any role may have, since exports also begin in the middle.
-ANY_START = 0.1
+#: Share of the start that any role may have, since exports also begin in the middle, and of lines that are of any length and form.
+ANY_START, ANY_LINE = 0.1, 0.1
 STYLES = 7
 
 
@@ -119,7 +119,9 @@ def fit(labelled: list[tuple[list[tuple[int, int, int, int]], list[int]]], smoot
             start[s] = 1e-9
     first = np.array([1.0 if f else 1e-9 for _, f in STATES])
     start = (1 - ANY_START) * start / start.sum() + ANY_START * first / first.sum()
-    return Model(np.log(start), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
+    emit = [e / e.sum(1, keepdims=True) for e in emit]
+    emit = emit[:1] + [(1 - ANY_LINE) * e + ANY_LINE / e.shape[1] for e in emit[1:]]
+    return Model(np.log(start), np.log(step / step.sum(1, keepdims=True)), [np.log(e) for e in emit])
 
 
 def transcript_of(turns: list[tuple[str | None, str | None]], style: int) -> tuple[str, list[tuple[str, str]]]:
