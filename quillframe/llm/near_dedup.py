@@ -15,7 +15,7 @@ that graph. A text in a still larger one makes a link between the two classes, a
 quote the same passage aren't copies. Work is by class and not by pair: each document is checked against the one that most
 of its buckets have as their smallest; what that leaves is found by the shingles that several classes hold, of which each
 set is followed through its rarest only (a set that shares m of k picks shares one of its rarest k - m + 1), with one member
-of a class for each shingle on either side. So a family of n copies costs n checks, and a passage in n texts n links.
+of a class for each shingle, and each text is held against the sets followed where it is read. So a family of n copies costs n checks, and a passage in n texts n links.
 
 Defined results: null texts and texts without words are near copies of nothing; texts with the same shingles are copies of
 one another; repeated rows are too. A group's group_id is its smallest doc_id (nulls last). Extra columns are carried
@@ -50,6 +50,10 @@ SMALL, PICKS_SMALL, PICKS, LIMIT = 128, 40, 32, 1 << 61
 FILTER_WORDS = 1 << 21
 #: Members of one task of a hot candidate's checks; more are spread over several tasks.
 SPREAD = 2000
+#: The recall of the picks that come before a check.
+SURE = 0.9999
+#: Shingles of the texts that a task holds against one block of sets after the other, and the least bytes of a block.
+GATHERED, BLOCK_BYTES = 1 << 21, 1 << 20
 
 
 def jaccard_threshold(containment: float, upper: int, query: int) -> float:
@@ -252,16 +256,26 @@ def _checker(setting: Settings):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, setting: Settings) -> DataFrame:
+def _blocks(size: int) -> int:
+    """Into how many blocks so many bytes are dealt, each of which fits a broadcast."""
+    return max(1, math.ceil(size / max(common.BROADCAST_BYTES, BLOCK_BYTES)))
+
+
+def _block(column: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, setting: Settings) -> DataFrame:
     """Those of the pairs (a, b) of which one lies in the other, with their sizes; b should be what many pairs have, or the larger."""
-    parts = common.settle(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPREAD)).cast("int").alias("parts")), "parts")
-    members = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
-    heads = parts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    wanted = common.settle(members.unionByName(heads), "wanted")
-    rows = sets.join(common.maybe_broadcast(wanted, 64), sets.nid == wanted.a).select("b", "part", "role", "a", "shingles")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
-    return common.settle(rows.mapInArrow(_checker(setting), "a long, b long, na int, nb int"), "edges")
+    with common.Scratch(docs.sparkSession) as scratch:
+        parts = common.settle(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPREAD)).cast("int").alias("parts")), "parts")
+        follow = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+        heads = parts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+        wanted = common.settle(follow.unionByName(heads).withColumn("nid", F.col("a")), "wanted")
+        rows = _read_sets(docs, members, wanted, setting).select("b", "part", "role", "a", "shingles")
+        n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
+        return scratch.keep(common.settle(rows.mapInArrow(_checker(setting), "a long, b long, na int, nb int"), "edges"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,11 +301,21 @@ def _label(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame
 
 
 def _read_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, setting: Settings) -> DataFrame:
-    """(nid, shingles) of the sets wanted, each read from one document that has it."""
+    """The rows wanted (nid and others, settled) with their shingles, each set being read from one document that has it.
+
+    No text is shuffled: what is wanted is dealt out by nid to blocks that fit a broadcast, which are read one after the other.
+    """
     reps = members.join(wanted, "nid", "left_semi").groupBy("nid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("r"))
     reps = common.settle(reps.select("nid", F.col("r.doc_id").alias("r_doc"), F.col("r.h").alias("r_h")), "reps")
-    texts = docs.join(common.maybe_broadcast(reps, 64), docs.h.eqNullSafe(F.col("r_h")) & docs.doc_id.eqNullSafe(F.col("r_doc"))).select("nid", "text")
-    return texts.mapInArrow(_set_reader(setting.width), "nid long, shingles binary")
+    blocks = _blocks(64 * max(reps.count(), wanted.count()))
+    out = None
+    for i in range(blocks):
+        own, rows = (F.broadcast(x.filter(_block("nid", blocks) == i)) for x in (reps, wanted))
+        texts = docs.join(own, docs.h.eqNullSafe(F.col("r_h")) & docs.doc_id.eqNullSafe(F.col("r_doc"))).select("nid", "text")
+        read = texts.mapInArrow(_set_reader(setting.width), "nid long, shingles binary").join(rows, "nid")
+        read = read if blocks == 1 else common.settle(read, "sets", "lz4")
+        out = out.unionByName(read) if out else read
+    return out
 
 
 def _several(rows: DataFrame, what: str, *more: Column) -> DataFrame:
@@ -321,18 +345,20 @@ def _filter_table(sketches: DataFrame):
 
 
 def _class_hits(docs: DataFrame, sketches: DataFrame, labels: DataFrame, setting: Settings) -> DataFrame:
-    """(key, nid, n, k, label, pick, df): the shingles followed that several classes hold."""
-    known = _filter_table(sketches)
-    spread = common.settle(docs.mapInArrow(_spreader(setting, known), "nid long, n int, k int, keys array<long>"), "spread", "lz4")
-    spread = _label(spread, labels, "nid", "label").select("nid", "n", "k", "label", F.posexplode("keys").alias("at", "key"))
-    shared = common.settle(_several(spread, "label", F.count(F.lit(1)).alias("df")).select("key", "df"), "shared")
-    hits = spread.join(common.maybe_broadcast(shared, 48), "key").select("key", "nid", "n", "k", "label", (F.col("at") < F.col("k")).alias("pick"), "df")
-    return common.settle(hits, "hits")
+    """(key, nid, n, k, label, pick, df): the picks, and other shingles of small sets, that several classes hold."""
+    with common.Scratch(docs.sparkSession) as scratch:
+        known = _filter_table(sketches)
+        spread = common.settle(docs.mapInArrow(_spreader(setting, known), "nid long, n int, k int, keys array<long>"), "spread", "lz4")
+        spread = _label(spread, labels, "nid", "label").select("nid", "n", "k", "label", F.posexplode("keys").alias("at", "key"))
+        shared = common.settle(_several(spread, "label", F.count(F.lit(1)).alias("df")).select("key", "df"), "shared")
+        pick = F.col("at") < F.col("k")
+        hits = spread.filter(pick | (F.col("n") < SMALL)).join(common.maybe_broadcast(shared, 48), "key").select("key", "nid", "n", "k", "label", pick.alias("pick"), "df")
+        return scratch.keep(common.settle(hits, "hits"))
 
 
-def _need(setting: Settings) -> Column:
+def _need(setting: Settings, recall: float = 0.97) -> Column:
     """How many of the k picks of a set of n shingles a container must hold."""
-    table = F.array(*[F.lit(least_shared(k, setting.containment)) for k in range(1, PICKS_SMALL + 1)])
+    table = F.array(*[F.lit(least_shared(k, setting.containment, recall)) for k in range(1, PICKS_SMALL + 1)])
     return F.when(F.col("k") == F.col("n"), F.ceil(F.col("n") * setting.containment - 1e-9)).otherwise(F.get(table, F.col("k") - 1)).cast("int")
 
 
@@ -340,7 +366,7 @@ def _octave_pairs(hits: DataFrame, setting: Settings) -> DataFrame:
     """(a, b): each small set with the set of another class, of about its size, that most of its shared shingles have as their first.
 
     Copies that have lost each other in the buckets so meet before each of them is looked up in all that they lie in.
-    Larger sets lie in few others, so those meet in _class_pairs.
+    Larger sets lie in few others, so those meet in _class_edges.
     """
     size = F.log2("n")
     rows = hits.filter(F.col("n") < SMALL).select("key", "nid", "label", _need(setting).alias("m"), F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1)).alias("octave"))
@@ -352,93 +378,151 @@ def _octave_pairs(hits: DataFrame, setting: Settings) -> DataFrame:
     return common.settle(best, "pairs")
 
 
-def _asks(hits: DataFrame, setting: Settings) -> DataFrame:
-    """(key, la, a): the rarest shared shingles of each class and, for each, its smallest set (n, nid) that is followed through it."""
-    asks = hits.filter("pick").groupBy("nid", "n", "k", "label").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("picks"))  # at most PICKS_SMALL
-    asks = asks.withColumn("m", _need(setting)).filter(F.size("picks") >= F.col("m"))
-    asks = asks.select("nid", "n", "label", F.explode(F.slice("picks", 1, F.size("picks") - F.col("m") + 1)).alias("x"))
-    asks = asks.groupBy(F.col("x.key").alias("key"), F.col("label").alias("la")).agg(F.min(F.struct("n", "nid")).alias("a"))
-    return common.settle(asks, "asks")
+def _asks(hits: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
+    """((key, nid): the rarest shared shingles of each class, each with its smallest set that is followed through it; (nid, n, least, whole, picks) of those sets).
+
+    least says how many of the picks a container must hold: all that the containment asks for where the set is known whole,
+    else as many as all but one in ten thousand hold.
+    """
+    sets = hits.filter("pick").groupBy("nid", "n", "k", "label").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("picks"))  # at most PICKS_SMALL
+    sets = common.settle(sets.withColumn("m", _need(setting)).filter(F.size("picks") >= F.col("m")), "picks")
+    asks = sets.select("nid", "n", "label", F.explode(F.slice("picks", 1, F.size("picks") - F.col("m") + 1)).alias("x"))
+    asks = asks.groupBy(F.col("x.key").alias("key"), "label").agg(F.min(F.struct("n", "nid")).alias("a"))
+    asks = common.settle(asks.select("key", "a.nid"), "asks")
+    ends = sets.join(asks, "nid", "left_semi").select("nid", "n", _need(setting, SURE).alias("least"), (F.col("k") == F.col("n")).alias("whole"), "picks.key")
+    return asks, common.settle(ends.withColumnRenamed("key", "picks"), "ends")
+
 
+def _container(setting: Settings, blocks):
+    """(a, b, na, nb, whole): each set b of the texts read, with all sets a that are followed through one of its shingles and of which it holds enough picks.
 
-def _container(setting: Settings, shared):
-    """(a, b, na, nb): each set b of the texts read, with all sets a that are followed through one of its shingles and lie in it."""
+    A task holds one block at a time, and the texts it has gathered against each of them.
+    """
+
+    def lie_in(block, nids_b: np.ndarray, values: np.ndarray, at_b: np.ndarray) -> Iterator[np.ndarray]:
+        keys, starts, asks, nids, sizes, least, whole, at, picks = block
+        width = max(1 << 16, min(1 << 23, 1 << (16 * len(keys)).bit_length()))
+        known = np.zeros(width, bool)
+        known[(keys & np.uint64(width - 1)).astype(np.int64)] = True
+        met = np.flatnonzero(known[(values & np.uint64(width - 1)).astype(np.int64)])
+        place = np.searchsorted(keys, values[met])
+        same = keys[np.minimum(place, len(keys) - 1)] == values[met]
+        met, place = met[same], place[same]
+        owner = np.searchsorted(at_b, met, "right") - 1
+        size_b, count = np.diff(at_b), np.diff(at)
+        for low, high in _spans(owner, starts[place + 1] - starts[place]):
+            many = starts[place[low:high] + 1] - starts[place[low:high]]
+            pair = np.unique(np.repeat(owner[low:high], many) * len(nids) + _gather(asks, starts[place[low:high]], starts[place[low:high] + 1]))
+            b, a = pair // len(nids), pair % len(nids)
+            keep = (sizes[a] < size_b[b]) | (sizes[a] == size_b[b]) & (nids[a] < nids_b[b])
+            b, a = b[keep], a[keep]
+            for first, end in _spans(np.arange(len(a)), count[a]):
+                x, y = a[first:end], b[first:end]
+                times = count[x]
+                held = _holds(values, np.repeat(at_b[y], times), np.repeat(at_b[y + 1], times), _gather(picks, at[x], at[x + 1]))
+                ok = np.add.reduceat(held.astype(np.int64), np.r_[0, np.cumsum(times)[:-1]]) >= least[x]
+                x, y = x[ok], y[ok]
+                yield np.stack([nids[x].view(np.int64), nids_b[y].view(np.int64), sizes[x], size_b[y], whole[x]])
+
+    def against(nids: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, values, at = np.concatenate(nids), np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+        for block in blocks:
+            for a, b, na, nb, whole in lie_in(block.value, own, values, at):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(whole > 0)], ["a", "b", "na", "nb", "whole"])
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again from this machine's copy when it is next wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, starts, asks, nids, at, values = shared.value
-        for _, nid, _, fresh, sets in _fresh_sets(batches, setting.width):
-            out: list[np.ndarray] = []
-            for b, s in zip(nid[fresh].tolist(), sets):
-                place = np.searchsorted(keys, s)
-                place = place[keys[np.minimum(place, len(keys) - 1)] == s]
-                if not len(place):
-                    continue
-                found = np.unique(_gather(asks, starts[place], starts[place + 1]))
-                n = at[found + 1] - at[found]
-                found = found[(n < len(s)) | (n == len(s)) & (nids[found] < b)]
-                n = at[found + 1] - at[found]
-                if not len(found):
-                    continue
-                own = _gather(values, at[found], at[found + 1])
-                hit = s[np.minimum(np.searchsorted(s, own), len(s) - 1)] == own
-                common_ = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(n)[:-1]])
-                ok = common_ >= setting.containment * n - 1e-9
-                out.append(np.stack([nids[found[ok]], np.full(ok.sum(), b, np.uint64), n[ok].astype(np.uint64), np.full(ok.sum(), len(s), np.uint64)]))
-            if out:
-                a, b, na, nb = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], ["a", "b", "na", "nb"])
+        nids, sets, room = [], [], 0
+        for _, nid, _, fresh, some in _fresh_sets(batches, setting.width):
+            nids.append(nid[fresh])
+            sets += some
+            room += sum(map(len, some))
+            if room >= GATHERED:
+                yield from against(nids, sets)
+                nids, sets, room = [], [], 0
+        if sets:
+            yield from against(nids, sets)
 
     return run
 
 
+def _spans(owner: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of rows of about GATHERED in weight together, that part no owner's rows; owners stand in order."""
+    total, first = np.cumsum(weight), 0
+    while first < len(owner):
+        end = int(np.searchsorted(total, (total[first - 1] if first else 0) + GATHERED, "right"))
+        end = int(np.searchsorted(owner, owner[min(max(end, first + 1), len(owner)) - 1], "right"))
+        yield first, end
+        first = end
+
+
+def _holds(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each value wanted is in its own sorted span values[low:high], which isn't empty."""
+    end = high - 1
+    for _ in range(int((high - low).max()).bit_length()):
+        mid = (low + high) >> 1
+        less = values[np.minimum(mid, end)] < wanted
+        less &= low < high
+        low, high = np.where(less, mid + 1, low), np.where(less, high, np.maximum(mid, low))
+    return values[np.minimum(low, end)] == wanted
+
+
 def _gather(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """values[start:end] of all the spans, one after the other."""
     n = end - start
     return values[np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
 
 
-def _class_edges(docs: DataFrame, members: DataFrame, hits: DataFrame, setting: Settings) -> DataFrame:
+def _class_edges(docs: DataFrame, members: DataFrame, hits: DataFrame, labels: DataFrame, setting: Settings) -> DataFrame:
     """(a, b, na, nb): sets of a class that lie in sets of others.
 
-    While the sets followed fit a broadcast by their counted size, each text is held against them where it is read. Beyond
-    that, class pairs are made by joins and the sets of both sides are shuffled.
+    Each text is held against the sets followed where it is read: first against their picks, then, for those of which some
+    text holds enough and that aren't known whole by their picks, against all their shingles.
     """
-    asks = _asks(hits, setting)
-    ends = common.settle(asks.select("a.nid", "a.n").distinct(), "ends")
-    size = ends.agg(F.coalesce(F.sum(F.col("n") * 8 + 16), F.lit(0)).alias("s")).first().s + 16 * asks.count()
-    if size > common.BROADCAST_BYTES:
-        pairs = _class_pairs(asks, hits, setting)
-        return _verify(pairs, _read_sets(docs, members, pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), setting), setting)
-    found = _read_sets(docs, members, ends.select("nid"), setting).toArrow()
-    sets = {n: np.frombuffer(v.as_buffer(), np.uint64) for n, v in zip(found["nid"].to_pylist(), found["shingles"])}
-    nids = np.array(sorted(sets), np.int64)
-    values = np.concatenate([np.zeros(0, np.uint64), *[sets[n] for n in nids.tolist()]])
-    at = np.r_[0, np.cumsum([len(sets[n]) for n in nids.tolist()])].astype(np.int64)
-    rows = asks.select("key", "a.nid").toArrow()
+    asks, ends = _asks(hits, setting)
+    found = _follow(docs, asks, ends, labels, setting)
+    wanted = common.settle(found.filter("not whole").select(F.col("a").alias("nid"), F.col("na").alias("n")).distinct(), "wanted")
+    edges = found.filter("whole")
+    if not wanted.isEmpty():
+        sets = _read_sets(docs, members, wanted, setting).select("nid", "n", F.ceil(F.col("n") * setting.containment - 1e-9).cast("int").alias("least"), F.lit(True).alias("whole"), F.col("shingles").alias("picks"))
+        sets = common.settle(sets, "read", "lz4")
+        edges = edges.unionByName(_follow(docs, common.settle(asks.join(wanted, "nid", "left_semi"), "asks"), sets, labels, setting))
+    return edges.drop("whole")
+
+
+def _follow(docs: DataFrame, asks: DataFrame, ends: DataFrame, labels: DataFrame, setting: Settings) -> DataFrame:
+    """(a, b, na, nb, whole): the sets asked for, with all sets of other classes that hold enough of their picks.
+
+    They are dealt out to blocks that fit a broadcast by their counted size. Each block meets every text, so that their
+    number makes no difference to what is found.
+    """
+    bytes_ = F.octet_length("picks") if dict(ends.dtypes)["picks"] == "binary" else F.size("picks") * 8
+    blocks = _blocks(ends.agg(F.coalesce(F.sum(bytes_ + 40), F.lit(0)).alias("s")).first().s + 24 * asks.count())
+    held = [x for i in range(blocks) if (x := _held(asks.filter(_block("nid", blocks) == i), ends.filter(_block("nid", blocks) == i)))]
+    kinds = "a long, b long, na int, nb int, whole boolean"
+    if not held:
+        return docs.sparkSession.createDataFrame([], kinds)
+    found = common.settle(docs.mapInArrow(_container(setting, held), kinds), "found")
+    for block in held:
+        block.destroy()
+    return common.settle(_label(_label(found, labels, "a", "la"), labels, "b", "lb").filter("la != lb").drop("la", "lb").distinct(), "found")
+
+
+def _held(asks: DataFrame, ends: DataFrame):
+    """A broadcast block of sets followed: (keys, their spans in asks, places of the sets asked for, then by set: nids, sizes, least, whole, spans in picks, picks)."""
+    sets, rows = ends.toArrow(), asks.select("key", "nid").toArrow()
+    if not rows.num_rows:
+        return None
+    nids, first = np.unique(sets["nid"].to_numpy(), return_index=True)  # repeated rows give a set twice
+    sets = sets.take(pa.array(first))
+    own = [np.frombuffer(x.as_buffer(), np.uint64) if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type) else x.values.to_numpy().view(np.uint64) for x in sets["picks"]]
+    at = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64)
     key, ask = rows["key"].to_numpy().view(np.uint64), np.searchsorted(nids, rows["nid"].to_numpy())
     order = np.argsort(key, kind="stable")
     keys, starts = np.unique(key[order], return_index=True)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, np.r_[starts, len(key)], ask[order], nids.view(np.uint64), at, values))
-    if not len(keys):
-        return docs.sparkSession.createDataFrame([], "a long, b long, na int, nb int")
-    return common.settle(docs.mapInArrow(_container(setting, shared), "a long, b long, na int, nb int"), "edges")
-
-
-def _class_pairs(asks: DataFrame, hits: DataFrame, setting: Settings) -> DataFrame:
-    """(a, b), a not larger: for classes that may hold a set and its container, the two members that share most of the shingles followed."""
-    wanted = common.settle(asks.select("key").distinct(), "wanted")
-    holds = hits.join(common.maybe_broadcast(wanted, 64), "key", "left_semi").groupBy("key", F.col("label").alias("lb")).agg(F.max(F.struct("n", "nid")).alias("b"))
-    pairs = asks.join(holds, "key").filter((F.col("la") != F.col("lb")) & (F.struct("b.n", "b.nid") > F.struct("a.n", "a.nid")))
-    pairs = pairs.groupBy("la", "lb", F.col("a.nid").alias("a"), F.col("b.nid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    best = pairs.groupBy("la", "lb").agg(F.max(F.struct("c", "a", "b")).alias("best")).select("best.a", "best.b")
-    best = common.settle(best.distinct(), "best")
-
-    picks = hits.join(common.maybe_broadcast(common.settle(best.select(F.col("a").alias("nid")).distinct(), "ends"), 64), "nid", "left_semi")
-    picks = common.settle(picks.filter("pick").groupBy(F.col("nid").alias("a")).agg(F.collect_set("key").alias("picks"), F.first(_need(setting)).alias("m")), "picks")
-    held = hits.join(common.maybe_broadcast(common.settle(best.select(F.col("b").alias("nid")).distinct(), "ends"), 64), "nid", "left_semi")
-    held = held.groupBy(F.col("nid").alias("b")).agg(F.collect_set("key").alias("held"))  # of one text
-    both = best.join(held, "b").join(common.maybe_broadcast(picks, 16 * PICKS_SMALL), "a").filter(F.size(F.array_intersect("picks", "held")) >= F.col("m"))
-    return common.settle(both.select("a", "b"), "pairs")
+    n, least, whole = (sets[c].cast(pa.int64()).to_numpy() for c in ("n", "least", "whole"))
+    return asks.sparkSession.sparkContext.broadcast((keys, np.r_[starts, len(key)], ask[order], nids.view(np.uint64), n, least, whole, at, np.concatenate(own)))
 
 
 def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
@@ -449,20 +533,15 @@ def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
     members = sketches.select("doc_id", "h", "nid", "n")
     near = F.greatest("na", "nb") <= F.least("na", "nb") * F.lit(setting.ratio) + 1e-9
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-
-    first = _bucket_pairs(sketches)
-    edges = _verify(first, _read_sets(docs, members, ends(first), setting), setting)
+    edges = _verify(_bucket_pairs(sketches), docs, members, setting)
     labels = components(edges.filter(near))
     hits = _class_hits(docs, sketches, labels, setting)
-    more = _octave_pairs(hits, setting)
-    more = _verify(more, _read_sets(docs, members, ends(more), setting), setting)
+    more = _verify(_octave_pairs(hits, setting), docs, members, setting)
     if not more.filter(near).isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges.filter(near))
         hits = _label(hits.drop("label"), labels, "nid", "label")
-    more = _class_edges(docs, members, hits, setting)
+    more = _class_edges(docs, members, hits, labels, setting)
     edges = edges.unionByName(more)
     if not more.filter(near).isEmpty():
         labels = components(edges.filter(near))

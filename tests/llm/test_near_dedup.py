@@ -70,6 +70,27 @@ def test_recall_and_precision_over_all_pairs_of_any_ratio(spark, sf, monkeypatch
         assert {r.doc_id: r.links for r in nd.opquery(spark, sf).collect() if r.links} == {d: sum(1 for x, _ in linked if x == g) for d, g in group.items() if any(x == g for x, _ in linked)}
 
 
+def test_nothing_depends_on_what_fits_a_broadcast(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)).split()
+    rows = []
+    for i in range(6):  # families of texts that grow by degrees, of which only some members lie in only some members of others
+        parts = [text(60) for _ in range(8)]
+        for j in range(8):
+            rows += [sum(parts[: j + 1], []), parts[j], parts[j][: 15 + 5 * j] + text(30), text(200) + parts[j] + sum(parts[: j // 2], [])]
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(rows)], "doc_id long, text string")
+
+    def result():
+        found, links = nd._grouped(docs, nd.Settings())
+        return sorted(map(tuple, found.drop("h").collect())), sorted(map(tuple, links.collect()))
+
+    want = result()
+    monkeypatch.setattr(nd.common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(nd, "GATHERED", 1 << 10, raising=False)
+    assert len(want[1]) > 50 and result() == want
+
+
 def awkward(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
