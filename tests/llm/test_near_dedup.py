@@ -82,7 +82,8 @@ def test_nothing_depends_on_what_fits_a_broadcast(spark, monkeypatch):
 
     def result():
         found, links = nd._grouped(docs, nd.Settings())
-        return sorted(map(tuple, found.drop("h").collect())), sorted(map(tuple, links.collect()))
+        kept = sorted(r.doc_id for r in nd.drop_near_copies(docs).collect())
+        return sorted(map(tuple, found.drop("h").collect())), sorted(map(tuple, links.collect())), kept
 
     want = result()
     monkeypatch.setattr(nd.common, "BROADCAST_BYTES", 0)
