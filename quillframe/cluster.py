@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -82,6 +83,12 @@ class Scratch:
             drop(self.spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that the shuffle files of queries that are over are deleted now and not some time later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
     """Write a DataFrame to the shared folder, so that lineage ends there and lost executors cost a re-read only."""
     path = new_path(df.sparkSession, name)

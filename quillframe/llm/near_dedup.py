@@ -534,13 +534,16 @@ def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
     near = F.greatest("na", "nb") <= F.least("na", "nb") * F.lit(setting.ratio) + 1e-9
 
     edges = _verify(_bucket_pairs(sketches), docs, members, setting)
+    common.release(docs.sparkSession)
     labels = components(edges.filter(near))
     hits = _class_hits(docs, sketches, labels, setting)
+    common.release(docs.sparkSession)
     more = _verify(_octave_pairs(hits, setting), docs, members, setting)
     if not more.filter(near).isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges.filter(near))
         hits = _label(hits.drop("label"), labels, "nid", "label")
+    common.release(docs.sparkSession)
     more = _class_edges(docs, members, hits, labels, setting)
     edges = edges.unionByName(more)
     if not more.filter(near).isEmpty():
