@@ -54,6 +54,8 @@ SPREAD = 2000
 SURE = 0.9999
 #: Shingles of the texts that a task holds against one block of sets after the other, and the least bytes of a block.
 GATHERED, BLOCK_BYTES = 1 << 21, 1 << 20
+#: What a task looks up at once, in shingles or candidates; texts read at once, and about how many of their bytes are hashed at once.
+SPAN, TEXTS, CHUNK = 1 << 17, 1 << 10, 1 << 18
 
 
 def jaccard_threshold(containment: float, upper: int, query: int) -> float:
@@ -129,9 +131,10 @@ class Settings:
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    raw, offsets = textvec.buffers(pc.utf8_lower(column))
-    for first, end, data, at in textvec.chunks(raw, offsets):
-        yield first, end, *textvec.shingle_sets(data, at, width)
+    for low in range(0, len(column), TEXTS):
+        raw, offsets = textvec.buffers(pc.utf8_lower(column.slice(low, TEXTS)))
+        for first, end, data, at in textvec.chunks(raw, offsets, CHUNK):
+            yield low + first, low + end, *textvec.shingle_sets(data, at, width)
 
 
 def _signatures(sets: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -404,7 +407,8 @@ def _container(setting: Settings, blocks):
         width = max(1 << 16, min(1 << 23, 1 << (16 * len(keys)).bit_length()))
         known = np.zeros(width, bool)
         known[(keys & np.uint64(width - 1)).astype(np.int64)] = True
-        met = np.flatnonzero(known[(values & np.uint64(width - 1)).astype(np.int64)])
+        met = [np.flatnonzero(known[(values[i : i + SPAN] & np.uint64(width - 1)).astype(np.int64)]) + i for i in range(0, len(values), SPAN)]
+        met = np.concatenate(met)
         place = np.searchsorted(keys, values[met])
         same = keys[np.minimum(place, len(keys) - 1)] == values[met]
         met, place = met[same], place[same]
@@ -448,10 +452,10 @@ def _container(setting: Settings, blocks):
 
 
 def _spans(owner: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spans of rows of about GATHERED in weight together, that part no owner's rows; owners stand in order."""
+    """Spans of rows of about SPAN in weight together, that part no owner's rows; owners stand in order."""
     total, first = np.cumsum(weight), 0
     while first < len(owner):
-        end = int(np.searchsorted(total, (total[first - 1] if first else 0) + GATHERED, "right"))
+        end = int(np.searchsorted(total, (total[first - 1] if first else 0) + SPAN, "right"))
         end = int(np.searchsorted(owner, owner[min(max(end, first + 1), len(owner)) - 1], "right"))
         yield first, end
         first = end

@@ -142,6 +142,22 @@ def test_a_long_text_takes_bounded_room(spark):
     assert at.tolist() == [0, len(sets)] and len(sets) == 14 and peak < 12 * len(data)
 
 
+def test_texts_are_held_against_sets_in_bounded_room():
+    rng = np.random.default_rng(6)
+    names, shared = [f"w{i}" for i in range(50_000)], " ".join(x + y for x in "abcd" for y in "abcd")
+    keys = next(nd._sets(pa.array([shared]), 3))[2]
+    n, k = 3000, len(keys)  # sets that are all asked for by the same keys: each text meets all of them
+    block = (keys, np.arange(k + 1) * n, np.tile(np.arange(n), k), np.arange(n, dtype=np.uint64), np.full(n, k), np.full(n, k), np.ones(n, np.int64), np.arange(n + 1) * k, np.tile(keys, n))
+    texts = [" ".join(names[i] for i in rng.integers(0, len(names), 5000)) + " " + shared for _ in range(300)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "h": [0] * 300, "text": texts})
+    tracemalloc.start()
+    found = sum(out.num_rows for out in nd._container(nd.Settings(), [type("Block", (), {"value": block})()])([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(f"{found} rows, at most {peak / 1e6:.0f} MB")
+    assert found and peak < 80e6
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, extra int")
     assert nd.near_groups(df).count() == 0
