@@ -106,6 +106,7 @@ class Settings:
 
     def __init__(self, width: int = WIDTH, containment: float = CONTAINMENT, ratio: float = COPY_RATIO, recall: float = RECALL, hashes: int = HASHES):
         self.width, self.containment, self.ratio, self.recall, self.hashes = width, containment, ratio, recall, hashes
+        self.known: dict[int, list[tuple[int, int, int]]] = {}  # schemes by partition
 
     def probes(self, p: int) -> list[int]:
         """The partitions, from p on, that hold sets at most ratio times as large as some set of p."""
@@ -120,14 +121,18 @@ class Settings:
 
         The bands that fewer rows need in several partitions are the same ones, the first of each being shared.
         """
-        own, found = partition_of(n), {}
+        own = partition_of(n)
+        if own in self.known:
+            return self.known[own]
+        found: dict[tuple[int, int], int] = {}
         low = partition_of(max(1, math.ceil(partition_bounds(own)[0] / self.ratio - 1e-9)))
         pairs = [(own, q) for q in self.probes(own)] + [(p, own) for p in range(low, own) if partition_bounds(p)[0] <= partition_bounds(p)[1]]
         for p, q in pairs:
             bands, rows = self.bands(p, q)
             tag = own + 1 if p == q and rows > 2 else 0  # many rows only within a partition
             found[tag, rows] = max(bands, found.get((tag, rows), 0))
-        return [(tag, bands, rows) for (tag, rows), bands in found.items()]
+        self.known[own] = [(tag, bands, rows) for (tag, rows), bands in found.items()]
+        return self.known[own]
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -200,6 +205,13 @@ def _sketch(setting: Settings):
     return run
 
 
+def _in_table(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a table of bits lets pass: all that it was made of, and some more."""
+    parts = [values[i : i + SPAN] for i in range(0, len(values), SPAN)] or [values]
+    word = np.uint64(len(table) - 1)
+    return np.concatenate([(table[(x & word).astype(np.int64)] >> ((x >> np.uint64(21)) & np.uint64(63))) & np.uint64(1) > 0 for x in parts])
+
+
 def _spreader(setting: Settings, known):
     """(nid, n, k, keys) of each set: k picks to look it up by, then all its other shingles below LIMIT or in the small sets' table."""
 
@@ -211,8 +223,7 @@ def _spreader(setting: Settings, known):
                 low = int(np.searchsorted(s, np.uint64(LIMIT)))
                 k = min(PICKS_SMALL, len(s)) if len(s) < SMALL else min(PICKS, low)
                 rest = s[max(k, low) :]
-                bit = (rest >> np.uint64(21)) & np.uint64(63)
-                hit = rest[(table[(rest & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> bit) & np.uint64(1) > 0]
+                hit = rest[_in_table(rest, table)]
                 keys.append(np.concatenate([s[: max(k, low)], hit]))
                 counts.append(k)
             if fresh:
@@ -382,7 +393,7 @@ def _octave_pairs(hits: DataFrame, setting: Settings) -> DataFrame:
 
 
 def _asks(hits: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
-    """((key, nid): the rarest shared shingles of each class, each with its smallest set that is followed through it; (nid, n, least, whole, picks) of those sets).
+    """((key, nid): the rarest shared shingles of each class, each with its smallest set that is followed through it; (nid, n, label, least, whole, picks) of those sets).
 
     least says how many of the picks a container must hold: all that the containment asks for where the set is known whole,
     else as many as all but one in ten thousand hold.
@@ -392,18 +403,18 @@ def _asks(hits: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
     asks = sets.select("nid", "n", "label", F.explode(F.slice("picks", 1, F.size("picks") - F.col("m") + 1)).alias("x"))
     asks = asks.groupBy(F.col("x.key").alias("key"), "label").agg(F.min(F.struct("n", "nid")).alias("a"))
     asks = common.settle(asks.select("key", "a.nid"), "asks")
-    ends = sets.join(asks, "nid", "left_semi").select("nid", "n", _need(setting, SURE).alias("least"), (F.col("k") == F.col("n")).alias("whole"), "picks.key")
+    ends = sets.join(asks, "nid", "left_semi").select("nid", "n", "label", _need(setting, SURE).alias("least"), (F.col("k") == F.col("n")).alias("whole"), "picks.key")
     return asks, common.settle(ends.withColumnRenamed("key", "picks"), "ends")
 
 
-def _container(setting: Settings, blocks):
-    """(a, b, na, nb, whole): each set b of the texts read, with all sets a that are followed through one of its shingles and of which it holds enough picks.
+def _container(setting: Settings, blocks, known):
+    """(a, b, na, nb, whole, la): each set b of the texts read, with all sets a, of class la, that are followed through one of its shingles and of which it holds enough picks.
 
-    A task holds one block at a time, and the texts it has gathered against each of them.
+    A task holds one block at a time, and what it has gathered of the texts against each of them: the shingles that known lets pass.
     """
 
-    def lie_in(block, nids_b: np.ndarray, values: np.ndarray, at_b: np.ndarray) -> Iterator[np.ndarray]:
-        keys, starts, asks, nids, sizes, least, whole, at, picks = block
+    def lie_in(block, nids_b: np.ndarray, size_b: np.ndarray, values: np.ndarray, at_b: np.ndarray) -> Iterator[np.ndarray]:
+        keys, starts, asks, nids, labels, sizes, least, whole, at, picks = block
         width = max(1 << 16, min(1 << 23, 1 << (16 * len(keys)).bit_length()))
         known = np.zeros(width, bool)
         known[(keys & np.uint64(width - 1)).astype(np.int64)] = True
@@ -413,40 +424,47 @@ def _container(setting: Settings, blocks):
         same = keys[np.minimum(place, len(keys) - 1)] == values[met]
         met, place = met[same], place[same]
         owner = np.searchsorted(at_b, met, "right") - 1
-        size_b, count = np.diff(at_b), np.diff(at)
+        count = np.diff(at)
         for low, high in _spans(owner, starts[place + 1] - starts[place]):
             many = starts[place[low:high] + 1] - starts[place[low:high]]
             pair = np.unique(np.repeat(owner[low:high], many) * len(nids) + _gather(asks, starts[place[low:high]], starts[place[low:high] + 1]))
             b, a = pair // len(nids), pair % len(nids)
             keep = (sizes[a] < size_b[b]) | (sizes[a] == size_b[b]) & (nids[a] < nids_b[b])
             b, a = b[keep], a[keep]
+            ok = np.zeros(len(a), bool)
             for first, end in _spans(np.arange(len(a)), count[a]):
                 x, y = a[first:end], b[first:end]
                 times = count[x]
                 held = _holds(values, np.repeat(at_b[y], times), np.repeat(at_b[y + 1], times), _gather(picks, at[x], at[x + 1]))
-                ok = np.add.reduceat(held.astype(np.int64), np.r_[0, np.cumsum(times)[:-1]]) >= least[x]
-                x, y = x[ok], y[ok]
-                yield np.stack([nids[x].view(np.int64), nids_b[y].view(np.int64), sizes[x], size_b[y], whole[x]])
+                ok[first:end] = np.add.reduceat(held.astype(np.int64), np.r_[0, np.cumsum(times)[:-1]]) >= least[x]
+            x, y = a[ok], b[ok]
+            yield np.stack([nids[x].view(np.int64), nids_b[y].view(np.int64), sizes[x], size_b[y], whole[x], labels[x]])
 
-    def against(nids: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own, values, at = np.concatenate(nids), np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+    def against(nids: list[np.ndarray], sizes: list[np.ndarray], sets: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, size, values, at = np.concatenate(nids), np.concatenate(sizes), np.concatenate(sets), np.r_[0, np.cumsum(np.concatenate(counts))]
         for block in blocks:
-            for a, b, na, nb, whole in lie_in(block.value, own, values, at):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(whole > 0)], ["a", "b", "na", "nb", "whole"])
+            for a, b, na, nb, whole, la in lie_in(block.value, own, size, values, at):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(whole > 0), pa.array(la)], ["a", "b", "na", "nb", "whole", "la"])
             if len(blocks) > 1:
                 block.__dict__.pop("_value", None)  # read again from this machine's copy when it is next wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nids, sets, room = [], [], 0
-        for _, nid, _, fresh, some in _fresh_sets(batches, setting.width):
-            nids.append(nid[fresh])
-            sets += some
-            room += sum(map(len, some))
+        table, room = known.value, 0
+        held: tuple[list[np.ndarray], ...] = ([], [], [], [])
+        for _, nid, count, fresh, some in _fresh_sets(batches, setting.width):
+            if not fresh:
+                continue
+            values = np.concatenate(some)
+            passed = _in_table(values, table)
+            counts = np.add.reduceat(passed.astype(np.int64), np.r_[0, np.cumsum(count[fresh])[:-1]])
+            for part, x in zip(held, (nid[fresh][counts > 0], count[fresh][counts > 0], values[passed], counts[counts > 0])):
+                part.append(x)
+            room += len(held[2][-1])
             if room >= GATHERED:
-                yield from against(nids, sets)
-                nids, sets, room = [], [], 0
-        if sets:
-            yield from against(nids, sets)
+                yield from against(*held)
+                held, room = ([], [], [], []), 0
+        if room:
+            yield from against(*held)
 
     return run
 
@@ -486,35 +504,50 @@ def _class_edges(docs: DataFrame, members: DataFrame, hits: DataFrame, labels: D
     """
     asks, ends = _asks(hits, setting)
     found = _follow(docs, asks, ends, labels, setting)
-    wanted = common.settle(found.filter("not whole").select(F.col("a").alias("nid"), F.col("na").alias("n")).distinct(), "wanted")
+    wanted = common.settle(found.filter("not whole").select(F.col("a").alias("nid"), F.col("na").alias("n"), F.col("la").alias("label")).distinct(), "wanted")
     edges = found.filter("whole")
     if not wanted.isEmpty():
-        sets = _read_sets(docs, members, wanted, setting).select("nid", "n", F.ceil(F.col("n") * setting.containment - 1e-9).cast("int").alias("least"), F.lit(True).alias("whole"), F.col("shingles").alias("picks"))
+        sets = _read_sets(docs, members, wanted, setting).select("nid", "n", "label", F.ceil(F.col("n") * setting.containment - 1e-9).cast("int").alias("least"), F.lit(True).alias("whole"), F.col("shingles").alias("picks"))
         sets = common.settle(sets, "read", "lz4")
         edges = edges.unionByName(_follow(docs, common.settle(asks.join(wanted, "nid", "left_semi"), "asks"), sets, labels, setting))
-    return edges.drop("whole")
+    return edges.drop("whole", "la")
+
+
+def _near(setting: Settings) -> Column:
+    return F.greatest("na", "nb") <= F.least("na", "nb") * F.lit(setting.ratio) + 1e-9
 
 
 def _follow(docs: DataFrame, asks: DataFrame, ends: DataFrame, labels: DataFrame, setting: Settings) -> DataFrame:
-    """(a, b, na, nb, whole): the sets asked for, with all sets of other classes that hold enough of their picks.
+    """(a, b, na, nb, whole, la): the sets asked for, with all sets of other classes that hold enough of their picks.
+
+    Of two classes one such pair is given that are copies and one that aren't (of a set not known whole and a class, too),
+    since the pairs grow much faster than the classes linked, which are all that is made of them.
 
     They are dealt out to blocks that fit a broadcast by their counted size. Each block meets every text, so that their
     number makes no difference to what is found.
     """
     bytes_ = F.octet_length("picks") if dict(ends.dtypes)["picks"] == "binary" else F.size("picks") * 8
-    blocks = _blocks(ends.agg(F.coalesce(F.sum(bytes_ + 40), F.lit(0)).alias("s")).first().s + 24 * asks.count())
-    held = [x for i in range(blocks) if (x := _held(asks.filter(_block("nid", blocks) == i), ends.filter(_block("nid", blocks) == i)))]
-    kinds = "a long, b long, na int, nb int, whole boolean"
+    size = ends.agg(F.coalesce(F.sum(bytes_ + 48), F.lit(0)).alias("s")).first().s + 24 * asks.count()
+    blocks, table = _blocks(size), np.zeros(min(FILTER_WORDS, max(1 << 10, 1 << (size // 16).bit_length())), np.uint64)
+    held = [x for i in range(blocks) if (x := _held(asks.filter(_block("nid", blocks) == i), ends.filter(_block("nid", blocks) == i), table))]
+    kinds = "a long, b long, na int, nb int, whole boolean, la long"
     if not held:
         return docs.sparkSession.createDataFrame([], kinds)
-    found = common.settle(docs.mapInArrow(_container(setting, held), kinds), "found")
-    for block in held:
+    known = docs.sparkSession.sparkContext.broadcast(table)
+    found = common.settle(docs.mapInArrow(_container(setting, held, known), kinds), "found")
+    for block in [*held, known]:
         block.destroy()
-    return common.settle(_label(_label(found, labels, "a", "la"), labels, "b", "lb").filter("la != lb").drop("la", "lb").distinct(), "found")
+    found = _label(found, labels, "b", "lb").filter("la != lb")
+    pairs = found.groupBy("la", "lb", "whole", F.when(~F.col("whole"), F.col("a")).alias("own"), _near(setting).alias("near"))
+    pairs = pairs.agg(*[F.first(c).alias(c) for c in ("a", "b", "na", "nb")])  # all from one row
+    return common.settle(pairs.select("a", "b", "na", "nb", "whole", "la"), "found")
 
 
-def _held(asks: DataFrame, ends: DataFrame):
-    """A broadcast block of sets followed: (keys, their spans in asks, places of the sets asked for, then by set: nids, sizes, least, whole, spans in picks, picks)."""
+def _held(asks: DataFrame, ends: DataFrame, table: np.ndarray):
+    """A broadcast block of sets followed: (keys, their spans in asks, places of the sets asked for, then by set: nids, labels, sizes, least, whole, spans in picks, picks).
+
+    Its keys and picks are added to the table of bits.
+    """
     sets, rows = ends.toArrow(), asks.select("key", "nid").toArrow()
     if not rows.num_rows:
         return None
@@ -525,8 +558,11 @@ def _held(asks: DataFrame, ends: DataFrame):
     key, ask = rows["key"].to_numpy().view(np.uint64), np.searchsorted(nids, rows["nid"].to_numpy())
     order = np.argsort(key, kind="stable")
     keys, starts = np.unique(key[order], return_index=True)
-    n, least, whole = (sets[c].cast(pa.int64()).to_numpy() for c in ("n", "least", "whole"))
-    return asks.sparkSession.sparkContext.broadcast((keys, np.r_[starts, len(key)], ask[order], nids.view(np.uint64), n, least, whole, at, np.concatenate(own)))
+    label, n, least, whole = (sets[c].cast(pa.int64()).to_numpy() for c in ("label", "n", "least", "whole"))
+    picks = np.concatenate(own)
+    for x in (keys, picks):
+        np.bitwise_or.at(table, (x & np.uint64(len(table) - 1)).astype(np.int64), np.uint64(1) << ((x >> np.uint64(21)) & np.uint64(63)))
+    return asks.sparkSession.sparkContext.broadcast((keys, np.r_[starts, len(key)], ask[order], nids.view(np.uint64), label, n, least, whole, at, picks))
 
 
 def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
@@ -535,7 +571,7 @@ def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
     sketches = docs.mapInArrow(_sketch(setting), "doc_id long, h long, nid long, n int, keys array<long>, small array<long>")
     sketches = common.settle(sketches, "sketches", "lz4")
     members = sketches.select("doc_id", "h", "nid", "n")
-    near = F.greatest("na", "nb") <= F.least("na", "nb") * F.lit(setting.ratio) + 1e-9
+    near = _near(setting)
 
     edges = _verify(_bucket_pairs(sketches), docs, members, setting)
     common.release(docs.sparkSession)

@@ -128,8 +128,13 @@ def shingles(found: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
 
 def distinct(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes within each document."""
-    parts = [np.unique(found[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    return (np.concatenate(parts) if parts else found[:0]), np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)].astype(np.int64)
+    found = found.copy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        found[a:b].sort()
+    keep = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=keep[1:])
+    keep[offsets[:-1][offsets[:-1] < len(found)]] = True
+    return found[keep], np.r_[0, np.cumsum(keep)][offsets]
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int, block: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:

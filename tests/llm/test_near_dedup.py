@@ -147,17 +147,43 @@ def test_texts_are_held_against_sets_in_bounded_room():
     names, shared = [f"w{i}" for i in range(50_000)], " ".join(x + y for x in "abcd" for y in "abcd")
     keys = next(nd._sets(pa.array([shared]), 3))[2]
     n, k = 3000, len(keys)  # sets that are all asked for by the same keys: each text meets all of them
-    block = (keys, np.arange(k + 1) * n, np.tile(np.arange(n), k), np.arange(n, dtype=np.uint64), np.full(n, k), np.full(n, k), np.ones(n, np.int64), np.arange(n + 1) * k, np.tile(keys, n))
+    block = (keys, np.arange(k + 1) * n, np.tile(np.arange(n), k), np.arange(n, dtype=np.uint64), np.arange(n), np.full(n, k), np.full(n, k), np.ones(n, np.int64), np.arange(n + 1) * k, np.tile(keys, n))
     texts = [" ".join(names[i] for i in rng.integers(0, len(names), 5000)) + " " + shared for _ in range(300)]
     rows = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "h": [0] * 300, "text": texts})
     tracemalloc.start()
-    found = sum(out.num_rows for out in nd._container(nd.Settings(), [type("Block", (), {"value": block})()])([rows]))
+    found = sum(out.num_rows for out in nd._container(nd.Settings(), [type("Block", (), {"value": block})()], type("Known", (), {"value": np.full(1 << 10, ~np.uint64(0))})())([rows]))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     print(f"{found} rows, at most {peak / 1e6:.0f} MB")
     assert found and peak < 80e6
 
 
+def test_two_classes_give_an_edge_of_a_kind_however_many_of_their_sets_lie_in_others(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, more = text(24), text(200)
+    rows = [passage + text(i // 2) for i in range(12)] + [more[: 200 - i] + passage for i in range(20)]  # two families, each of the first lies in each of the second
+    found, edges = [], nd._class_edges
+
+    def kept(*args):
+        out = edges(*args)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "_class_edges", kept)
+    groups, links = nd._grouped(spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(rows)], "doc_id long, text string"), nd.Settings())
+    assert {(r.group_id, r.copies, r.links) for r in groups.collect()} == {(0, 12, 1), (12, 20, 0)}
+    assert [(r.small_id, r.large_id) for r in links.collect()] == [(0, 12)]
+    assert 1 <= found[0] <= 2
+
+
+def test_distinct_is_unique_by_text():
+    rng = np.random.default_rng(4)
+    found, at = rng.integers(0, 9, 400).astype(np.uint64), np.r_[0, 0, np.sort(rng.integers(0, 401, 30)), 400, 400]
+    sets, places = textvec.distinct(found, at)
+    assert [sets[a:b].tolist() for a, b in zip(places[:-1], places[1:])] == [np.unique(found[a:b]).tolist() for a, b in zip(at[:-1], at[1:])]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, extra int")
     assert nd.near_groups(df).count() == 0
