@@ -93,7 +93,8 @@ def tiny_forward(spark, sf):
     longest = turns.agg(F.max(F.length("text"))).first()[0] or 0
     c = net.Config(longest=longest + most + 2)
     model = net.Network(c, net.init(c))
-    t = turns.select("conv_id", "turn", F.transform(code_points(F.col("text")), lambda x: x % 256).alias("prompt"))
+    spread = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # small files take long here
+    t = turns.select("conv_id", "turn", "text").repartition(spread).select("conv_id", "turn", F.transform(code_points(F.col("text")), lambda x: x % 256).alias("prompt"))
     rows = net.generate(t.withColumn("prompt", F.when(F.size("prompt") > 0, F.col("prompt"))), "prompt", model, most=most)
     return rows.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), "min_prob", "mean_logprob", "max_entropy")
 

@@ -1,8 +1,13 @@
 """The network: step by step equals at once, masks hold, and the kernels equal their definitions."""
 
+import time
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.functions import vectors as v
 from quillframe.operators import network as net
@@ -69,6 +74,46 @@ def test_tiny_forward_sees_whole_turns(spark, tmp_path):
         assert got[i].n_tokens == len(probs) and got[i].min_prob == pytest.approx(min(probs, default=0.0), rel=1e-6)
 
 
+@pytest.mark.parametrize("given", [{}, {"window": 6, "longest": 64}, {"longest": 40}, {"memory_layers": (0,), "layers": 1}, {"memory_layers": (0, 1, 2), "layers": 3, "lanes": 3}])
+@pytest.mark.parametrize("scale", [0.0, 0.3, 30.0])
+def test_continuations_equal_generate(given, scale):
+    c, rng = net.Config.of(**({"longest": 3000} | given)), np.random.default_rng(5)
+    whole = net.Network(c, {k: x + scale * rng.standard_normal(x.shape) for k, x in net.init(c, 3).items()})
+    prompts = [[], [5], [5, 6, 7], list(range(3, 80)), *[rng.integers(0, 250, n).tolist() for n in (net.TOGETHER - 1, net.TOGETHER, 2 * net.TOGETHER + 1, 90)]]
+    for temperature in (0.0, 1.0):
+        for got, prompt in zip(whole.continuations(prompts, 6, temperature, 4), prompts, strict=True):
+            want = whole.generate(prompt, 6, temperature, 4)
+            assert got["tokens"] == want["tokens"] and got["logprobs"] == pytest.approx(want["logprobs"], rel=1e-6, abs=1e-9)
+            for k in ("min_prob", "mean_logprob", "max_entropy"):
+                assert got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9)
+
+
+def test_rows_are_decoded_together():
+    """No row goes through the whole network position by position: a column takes a fraction of the time that rows one by one take."""
+    c = net.Config(longest=700)
+    whole, prompts = net.Network(c, net.init(c)), [np.random.default_rng(i).integers(3, 250, 300).tolist() for i in range(40)]
+    began = time.process_time()
+    want = [whole.generate(x, 4) for x in prompts]
+    alone, began = time.process_time() - began, time.process_time()
+    rows = net.generate(Here(pa.RecordBatch.from_arrays([pa.array(prompts)], ["p"])), "p", whole, 4)
+    together = time.process_time() - began
+    assert rows.column("tokens").to_pylist() == [x["tokens"] for x in want]
+    assert together < alone / 3
+
+
+class Here:
+    """Stands in for a DataFrame: mapInArrow runs here, so that its time can be taken."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch, self.sparkSession, self.sparkContext, self.schema = batch, self, self, T.StructType([T.StructField("p", T.ArrayType(T.LongType()))])
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def mapInArrow(self, run, _):
+        return next(run(iter([self.batch])))
+
+
 def test_merge_average_and_budget():
     c = net.Config()
     p = net.init(c)
