@@ -393,7 +393,7 @@ def _octave_pairs(hits: DataFrame, setting: Settings) -> DataFrame:
 
 
 def _asks(hits: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
-    """((key, nid): the rarest shared shingles of each class, each with its smallest set that is followed through it; (nid, n, label, least, whole, picks) of those sets).
+    """((key, nid, label): the rarest shared shingles of each class, each with its smallest set that is followed through it; (nid, n, label, least, whole, picks) of those sets).
 
     least says how many of the picks a container must hold: all that the containment asks for where the set is known whole,
     else as many as all but one in ten thousand hold.
@@ -402,7 +402,7 @@ def _asks(hits: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
     sets = common.settle(sets.withColumn("m", _need(setting)).filter(F.size("picks") >= F.col("m")), "picks")
     asks = sets.select("nid", "n", "label", F.explode(F.slice("picks", 1, F.size("picks") - F.col("m") + 1)).alias("x"))
     asks = asks.groupBy(F.col("x.key").alias("key"), "label").agg(F.min(F.struct("n", "nid")).alias("a"))
-    asks = common.settle(asks.select("key", "a.nid"), "asks")
+    asks = common.settle(asks.select("key", "a.nid", "label"), "asks")
     ends = sets.join(asks, "nid", "left_semi").select("nid", "n", "label", _need(setting, SURE).alias("least"), (F.col("k") == F.col("n")).alias("whole"), "picks.key")
     return asks, common.settle(ends.withColumnRenamed("key", "picks"), "ends")
 
@@ -432,12 +432,16 @@ def _container(setting: Settings, blocks, known):
             keep = (sizes[a] < size_b[b]) | (sizes[a] == size_b[b]) & (nids[a] < nids_b[b])
             b, a = b[keep], a[keep]
             ok = np.zeros(len(a), bool)
-            for first, end in _spans(np.arange(len(a)), count[a]):
+            for first, end in _spans(b, count[a]):
                 x, y = a[first:end], b[first:end]
                 times = count[x]
                 held = _holds(values, np.repeat(at_b[y], times), np.repeat(at_b[y + 1], times), _gather(picks, at[x], at[x + 1]))
                 ok[first:end] = np.add.reduceat(held.astype(np.int64), np.r_[0, np.cumsum(times)[:-1]]) >= least[x]
             x, y = a[ok], b[ok]
+            far = (whole[x] > 0) & (np.maximum(sizes[x], size_b[y]) > np.minimum(sizes[x], size_b[y]) * setting.ratio + 1e-9)
+            once = ~far
+            once[np.flatnonzero(far)[np.unique(np.stack([y[far], labels[x[far]]]), axis=1, return_index=True)[1]]] = True  # of a class, one set for each text far larger
+            x, y = x[once], y[once]
             yield np.stack([nids[x].view(np.int64), nids_b[y].view(np.int64), sizes[x], size_b[y], whole[x], labels[x]])
 
     def against(nids: list[np.ndarray], sizes: list[np.ndarray], sets: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -496,14 +500,14 @@ def _gather(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return values[np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
 
 
-def _class_edges(docs: DataFrame, members: DataFrame, hits: DataFrame, labels: DataFrame, setting: Settings) -> DataFrame:
-    """(a, b, na, nb): sets of a class that lie in sets of others.
+def _class_edges(docs: DataFrame, members: DataFrame, hits: DataFrame, labels: DataFrame, setting: Settings, far: list[DataFrame]) -> DataFrame:
+    """(a, b, na, nb): sets of a class that lie in sets of others, but for those added to far.
 
     Each text is held against the sets followed where it is read: first against their picks, then, for those of which some
     text holds enough and that aren't known whole by their picks, against all their shingles.
     """
     asks, ends = _asks(hits, setting)
-    found = _follow(docs, asks, ends, labels, setting)
+    found = _follow(docs, asks, ends, labels, setting, far)
     wanted = common.settle(found.filter("not whole").select(F.col("a").alias("nid"), F.col("na").alias("n"), F.col("la").alias("label")).distinct(), "wanted")
     edges = found.filter("whole")
     if not wanted.isEmpty():
@@ -517,19 +521,22 @@ def _near(setting: Settings) -> Column:
     return F.greatest("na", "nb") <= F.least("na", "nb") * F.lit(setting.ratio) + 1e-9
 
 
-def _follow(docs: DataFrame, asks: DataFrame, ends: DataFrame, labels: DataFrame, setting: Settings) -> DataFrame:
+def _follow(docs: DataFrame, asks: DataFrame, ends: DataFrame, labels: DataFrame, setting: Settings, far: list[DataFrame] | None = None) -> DataFrame:
     """(a, b, na, nb, whole, la): the sets asked for, with all sets of other classes that hold enough of their picks.
 
-    Of two classes one such pair is given that are copies and one that aren't (of a set not known whole and a class, too),
-    since the pairs grow much faster than the classes linked, which are all that is made of them.
+    Of two classes one such pair is given that are copies and one that aren't, and one pair of each set not known whole, since
+    the pairs grow much faster than the classes linked and the sets to look at again, which are all that is made of them.
 
-    They are dealt out to blocks that fit a broadcast by their counted size. Each block meets every text, so that their
+    Those that only link a class to a text that is the first of its class, or alone in it, aren't shuffled: they are added to far, as (la, b, nb), each
+    once for each row of b.
+
+    The sets are dealt out by class to blocks that fit a broadcast by their counted size. Each block meets every text, so that their
     number makes no difference to what is found.
     """
     bytes_ = F.octet_length("picks") if dict(ends.dtypes)["picks"] == "binary" else F.size("picks") * 8
     size = ends.agg(F.coalesce(F.sum(bytes_ + 48), F.lit(0)).alias("s")).first().s + 24 * asks.count()
     blocks, table = _blocks(size), np.zeros(min(FILTER_WORDS, max(1 << 10, 1 << (size // 16).bit_length())), np.uint64)
-    held = [x for i in range(blocks) if (x := _held(asks.filter(_block("nid", blocks) == i), ends.filter(_block("nid", blocks) == i), table))]
+    held = [x for i in range(blocks) if (x := _held(asks.filter(_block("label", blocks) == i), ends.filter(_block("label", blocks) == i), table))]
     kinds = "a long, b long, na int, nb int, whole boolean, la long"
     if not held:
         return docs.sparkSession.createDataFrame([], kinds)
@@ -538,7 +545,11 @@ def _follow(docs: DataFrame, asks: DataFrame, ends: DataFrame, labels: DataFrame
     for block in [*held, known]:
         block.destroy()
     found = _label(found, labels, "b", "lb").filter("la != lb")
-    pairs = found.groupBy("la", "lb", "whole", F.when(~F.col("whole"), F.col("a")).alias("own"), _near(setting).alias("near"))
+    if far is not None:
+        apart = F.col("whole") & ~_near(setting) & (F.col("lb") == F.col("b"))
+        far.append(found.filter(apart).select("la", "b", "nb"))
+        found = found.filter(~apart)
+    pairs = found.groupBy("la", "whole", F.when(~F.col("whole"), F.col("a")).alias("own"), *[F.when(F.col("whole"), x).alias(k) for k, x in (("lb", F.col("lb")), ("near", _near(setting)))])
     pairs = pairs.agg(*[F.first(c).alias(c) for c in ("a", "b", "na", "nb")])  # all from one row
     return common.settle(pairs.select("a", "b", "na", "nb", "whole", "la"), "found")
 
@@ -565,8 +576,27 @@ def _held(asks: DataFrame, ends: DataFrame, table: np.ndarray):
     return asks.sparkSession.sparkContext.broadcast((keys, np.r_[starts, len(key)], ask[order], nids.view(np.uint64), label, n, least, whole, at, picks))
 
 
-def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, h, nid, n, label) of every document that has words, (small, large) labels of the classes linked)."""
+def _far_links(far: DataFrame, links: DataFrame, members: DataFrame, before: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with those of far that must be made distinct, the rest of far as (small, large, n), distinct as they are).
+
+    The rest are those whose text is the only row of its class, and whose class is none of several that became one: such a
+    text is read once and meets all sets of a class at once. Those that are links already are left out.
+    """
+    several = members.groupBy("nid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("nid").union(labels.select("v")).distinct()
+    several = common.maybe_broadcast(common.settle(several.select(F.col("nid").alias("b"), F.lit(True).alias("several")), "several"), 48)
+    was = labels.join(before.select("v", F.col("label").alias("old")), "v", "left").select("label", F.coalesce("old", "v").alias("la"))
+    became = was.groupBy("label").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).filter("lo != hi")
+    became = common.settle(was.join(became, "label", "left_semi").select("la", F.lit(True).alias("became")).distinct(), "became")
+    rows = far.join(several, "b", "left").join(common.maybe_broadcast(became, 48), "la", "left")
+    odd = F.col("several").isNotNull() | F.col("became").isNotNull()
+    more = _label(_label(rows.filter(odd).select("la", "b"), labels, "la", "small"), labels, "b", "large").filter("small != large").select("small", "large")
+    links = common.settle(links.union(more).distinct(), "links")
+    plain = rows.filter(~odd).select(F.col("la").alias("small"), F.col("b").alias("large"), F.col("nb").alias("n"))
+    return links, plain.join(common.maybe_broadcast(links, 64), ["small", "large"], "left_anti")
+
+
+def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc_id, h, nid, n, label) of every document that has words, (small, large) labels of classes linked, (small, large, n) of the other links, to single texts)."""
     docs = common.need(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), "text")
     sketches = docs.mapInArrow(_sketch(setting), "doc_id long, h long, nid long, n int, keys array<long>, small array<long>")
     sketches = common.settle(sketches, "sketches", "lz4")
@@ -584,27 +614,46 @@ def _classes(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
         labels = components(edges.filter(near))
         hits = _label(hits.drop("label"), labels, "nid", "label")
     common.release(docs.sparkSession)
-    more = _class_edges(docs, members, hits, labels, setting)
+    far, before = [], labels
+    more = _class_edges(docs, members, hits, labels, setting, far)
     edges = edges.unionByName(more)
     if not more.filter(near).isEmpty():
         labels = components(edges.filter(near))
     links = edges.filter(~near).select(F.when(F.col("na") < F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("na") < F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("y"))
-    links = _label(_label(links, labels, "x", "small"), labels, "y", "large").filter("small != large").select("small", "large").distinct()
-    return common.settle(_label(members, labels, "nid", "label"), "members"), common.settle(links, "links")
+    links = _label(_label(links, labels, "x", "small"), labels, "y", "large").filter("small != large").select("small", "large")
+    far = far[0] if far else docs.sparkSession.createDataFrame([], "la long, b long, nb int")
+    return common.settle(_label(members, labels, "nid", "label"), "members"), *_far_links(far, links, members, before, labels)
 
 
-def _grouped(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, h, label, group_id, copies, links) of the documents that have copies or lie in larger ones, links)."""
+def _gathered(docs: DataFrame, setting: Settings, listed: bool) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """((doc_id, h, label, group_id, copies, links) of the documents that have copies or lie in larger ones, links if they are to be listed, (label) of the groups that lie in larger ones).
+
+    Links to single texts are by far the most and grow faster than the input; they are counted where they stand.
+    """
     with common.Scratch(docs.sparkSession) as scratch:
-        members, links = _classes(docs, setting)
+        members, links, plain = _classes(docs, setting)
+        far = common.settle(plain.groupBy(F.col("small").alias("label")).agg(F.count(F.lit(1)).alias("far"), F.max(F.struct("n", F.col("large").alias("label"))).alias("top")), "far")
         groups = members.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
-        groups = groups.join(links.groupBy(F.col("small").alias("label")).agg(F.count(F.lit(1)).alias("links")), "label", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        groups = groups.join(links.groupBy(F.col("small").alias("label")).agg(F.count(F.lit(1)).alias("links")), "label", "left").join(far, "label", "left")
+        groups = groups.withColumn("links", F.coalesce("links", F.lit(0)) + F.coalesce("far", F.lit(0))).drop("far", "top")
         groups = common.settle(groups.filter("copies > 1 or links > 0"), "groups")
         found = members.join(groups, "label").select("doc_id", "h", "label", "group_id", "copies", "links")
-        named = members.join(links.select(F.col("small").alias("label")).union(links.select("large")).distinct(), "label", "left_semi").groupBy("label").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-        named = common.settle(named, "named")
-        pairs = links.join(named.toDF("small", "small_id", "small_n"), "small").join(named.toDF("large", "large_id", "large_n"), "large")
-        return scratch.keep(common.settle(found, "found")), scratch.keep(common.settle(pairs, "pairs"))
+
+        def named(links: DataFrame) -> DataFrame:
+            ends = links.select(F.col("small").alias("label")).union(links.select("large")).distinct()
+            ends = common.settle(members.join(ends, "label", "left_semi").groupBy("label").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "named")
+            return links.join(ends.toDF("small", "small_id", "small_n"), "small").join(ends.toDF("large", "large_id", "large_n"), "large")
+
+        inside = named(links).filter(F.struct("small_n", "small") < F.struct("large_n", "large")).select(F.col("small").alias("label"))
+        own = members.groupBy("label").agg(F.max("n").alias("n")).join(far, "label")
+        inside = inside.union(own.filter(F.struct("n", "label") < F.col("top")).select("label")).distinct()
+        pairs = scratch.keep(common.settle(named(links.union(plain.select("small", "large"))), "pairs")) if listed else None
+        return scratch.keep(common.settle(found, "found")), pairs, scratch.keep(common.settle(inside, "inside"))
+
+
+def _grouped(docs: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, h, label, group_id, copies, links) of the documents that have copies or lie in larger ones, links)."""
+    return _gathered(docs, setting, True)[:2]
 
 
 def near_copies(docs: DataFrame, setting: Settings | None = None) -> DataFrame:
@@ -612,7 +661,7 @@ def near_copies(docs: DataFrame, setting: Settings | None = None) -> DataFrame:
 
     copies counts the rows of the group, links the other groups in which a text of it lies.
     """
-    return _grouped(docs, setting or Settings())[0].select("doc_id", "group_id", "copies", "links")
+    return _gathered(docs, setting or Settings(), False)[0].select("doc_id", "group_id", "copies", "links")
 
 
 def near_groups(docs: DataFrame, setting: Settings | None = None) -> DataFrame:
@@ -632,8 +681,7 @@ def drop_near_copies(docs: DataFrame, setting: Settings | None = None) -> DataFr
     or lies in what stays. All columns stay.
     """
     with common.Scratch(docs.sparkSession) as scratch:
-        found, links = _grouped(docs, setting or Settings())
-        inside = links.filter(F.struct("small_n", "small") < F.struct("large_n", "large")).select(F.col("small").alias("label")).distinct()
+        found, _, inside = _gathered(docs, setting or Settings(), False)
         stay = found.join(inside, "label", "left_anti").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
         h, g_doc, g_h = (common.fresh(docs, c) for c in ("h", "g_doc", "g_h"))
         match = F.col("doc_id").eqNullSafe(F.col(g_doc)) & F.col(h).eqNullSafe(F.col(g_h))

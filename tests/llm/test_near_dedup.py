@@ -177,6 +177,32 @@ def test_two_classes_give_an_edge_of_a_kind_however_many_of_their_sets_lie_in_ot
     assert 1 <= found[0] <= 2
 
 
+def test_links_to_single_texts_are_counted_where_they_stand(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    small, large, other = text(20), text(90), text(25)
+    rows = [text(rng.randint(100, 300)) + " " + small + " " + text(50) for _ in range(60)] + [text(250) + " " + large + " " + small for _ in range(60)]
+    rows += [small, small + " " + text(2), large, large + " " + text(4)]  # 120 and 121: links to 120 texts each; 122 and 123: to 60
+    rows += [other, other + " " + text(1), *[text(200) + " " + other] * 2, text(300) + " " + other]  # 126 and 127 are rows of one text
+    docs, found, edges = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), [], nd._class_edges
+
+    def kept(*args):
+        out = edges(*args)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "_class_edges", kept)
+    got = {(r.doc_id, r.group_id, r.copies, r.links) for r in nd.near_copies(docs).collect()}
+    listed = {(r.group_id, r.inside) for r in nd.group_links(docs).collect()}
+    assert {(i, 120) for i in range(120)} <= {(b, a) for a, b in listed} and {(122, i) for i in range(60, 120)} <= listed
+    assert {(124, 126), (124, 128)} <= listed
+    counts = {g: sum(a == g for a, _ in listed) for _, g, _, _ in got}
+    assert {(120, 120, 2, 120), (121, 120, 2, 120), (122, 122, 2, 60), (123, 122, 2, 60), (124, 124, 2, 2), (126, 126, 2, 0)} <= got
+    assert all(links == counts[g] for _, g, _, links in got)
+    assert {r.doc_id for r in nd.drop_near_copies(docs).collect()} == {*range(120), 126, 128}
+    assert found[0] < 80  # and not the 120 links of the small texts, too
+
+
 def test_distinct_is_unique_by_text():
     rng = np.random.default_rng(4)
     found, at = rng.integers(0, 9, 400).astype(np.uint64), np.r_[0, 0, np.sort(rng.integers(0, 401, 30)), 400, 400]
